@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import sharding, topk
+from . import sharding, simhash, topk
 
 QUERIES = {
     "op4_jump_shards": sharding.op4_jump_shards,
+    "op5_simhash_components": simhash.op5_simhash_components,
     "op9_topk": topk.op9_topk,
 }
 
