@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import sharding, simhash, topk
+from . import sharding, simhash, topk, warc
 
 QUERIES = {
     "op4_jump_shards": sharding.op4_jump_shards,
     "op5_simhash_components": simhash.op5_simhash_components,
+    "op7_warc_round_trip": warc.op7_warc_round_trip,
     "op9_topk": topk.op9_topk,
 }
 
