@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import sharding, simhash, topk, warc
+from . import packing, sharding, simhash, topk, warc
 
 QUERIES = {
     "op4_jump_shards": sharding.op4_jump_shards,
     "op5_simhash_components": simhash.op5_simhash_components,
     "op7_warc_round_trip": warc.op7_warc_round_trip,
+    "op8_pattern_packing": packing.op8_pattern_packing,
     "op9_topk": topk.op9_topk,
 }
 
