@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, simhash, topk, warc
+from . import langid, packing, sharding, simhash, topk, warc
 
 QUERIES = {
     "op4_jump_shards": sharding.op4_jump_shards,
     "op5_simhash_components": simhash.op5_simhash_components,
+    "op6_language_profiles": langid.op6_language_profiles,
     "op7_warc_round_trip": warc.op7_warc_round_trip,
     "op8_pattern_packing": packing.op8_pattern_packing,
     "op9_topk": topk.op9_topk,
