@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, packing, sharding, simhash, topk, warc
+from . import katz, langid, packing, sharding, simhash, topk, warc
 
 QUERIES = {
+    "op2_katz_scores": katz.op2_katz_scores,
     "op4_jump_shards": sharding.op4_jump_shards,
     "op5_simhash_components": simhash.op5_simhash_components,
     "op6_language_profiles": langid.op6_language_profiles,
