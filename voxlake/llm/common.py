@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows an Arrow batch may hold on its way to Python; with texts of a few kB a batch stays at some MB.
 ARROW_ROWS = 1000
@@ -59,3 +60,8 @@ def release_shuffles(spark: SparkSession) -> None:
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text modulo folds; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
+
+
+def extended(df: DataFrame, more: str) -> T.StructType:
+    """df's schema with the fields of a DDL string after it."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, read_table
+from .common import extended, fold, read_table
 
 DIMENSIONS, LETTERS = 1024, 3
 SEED = 20_240_131
@@ -169,7 +169,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
     that sorts first. Rows keep their number; the input may be empty.
     """
     known, prototypes = model
-    fields = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    fields = extended(docs.select(*keep), "lang_pred string, score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space(dimensions, letters)

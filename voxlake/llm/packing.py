@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import read_table, store
+from .common import extended, read_table, store
 
 #: Rows of one length that a task ranks at a time.
 RANK_ROWS = 100_000
@@ -209,7 +209,7 @@ def pack(parts: DataFrame, room: int) -> DataFrame:
             cols = [*batch.columns[:-1], pa.array(table[entry, 0] + rank), pa.array(table[entry, 1])]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = parts.schema.add("sequence_id", "long").add("offset", "long")
+    schema = extended(parts, "sequence_id long, offset long")
     return ranked.mapInArrow(place, schema)
 
 

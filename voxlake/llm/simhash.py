@@ -9,7 +9,7 @@ meet it; fingerprints are compared per anchor over all 64 bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,15 @@ BUFFER_ROWS = 1 << 17
 HAMMING_BITS = 15
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes, words: int) -> int:
     """SimHash of a UTF-8 text: A-Z lower-cased, shingles of `words` words hashed by XXH64 with seed 42."""
     found = text.lower().split()
@@ -41,11 +50,7 @@ def fingerprint(text: bytes, words: int) -> int:
     digest = xxhash.xxh64_intdigest
     spans = zip(start[: len(found) - width + 1].tolist(), end[width - 1 :].tolist(), strict=True)
     hashes = np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, len(found) - width + 1)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
@@ -100,17 +105,24 @@ def anchors(fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _replicate(distinct: DataFrame, threshold: int) -> DataFrame:
+def replicate(distinct: DataFrame, threshold: int, words: int = 1) -> DataFrame:
+    """(anchor, fp, ...) for every anchor of each row; distinct holds other columns, then `words` fingerprints, each
+    with anchors of its own. fp is the first fingerprint."""
+    others = distinct.columns[:-words]
+    schema = ", ".join(["anchor long", "fp long", *(f"{c} long" for c in others)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            row, key = anchors(fp, threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row].view(np.int64))], ["anchor", "fp"])
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            fp = cols[len(others)]
+            for word, own in enumerate(cols[len(others) :]):
+                row, key = anchors(own.view(np.uint64), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(key | (word << 50)), pa.array(fp[row]), *(pa.array(c[row]) for c in cols[: len(others)])], ["anchor", "fp", *others])
 
-    return distinct.select("fp").mapInArrow(run, "anchor long, fp long")
+    return distinct.mapInArrow(run, schema)
 
 
-def _rooted(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def rooted(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least index reachable from each of n nodes over edges a-b."""
     root = np.arange(n)
     while True:
@@ -136,7 +148,7 @@ def _small_links(group: np.ndarray, fp: np.ndarray, threshold: int) -> tuple[np.
         step += 1
     if not a:
         return fp[:0], fp[:0]
-    root = _rooted(len(fp), np.concatenate(a), np.concatenate(b))
+    root = rooted(len(fp), np.concatenate(a), np.concatenate(b))
     own = np.flatnonzero(root != np.arange(len(fp)))
     return fp[own], fp[root[own]]
 
@@ -156,64 +168,75 @@ def _large_links(fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
 
 
-def _links(cells: DataFrame, threshold: int) -> DataFrame:
-    """Links (a, b) from rows sorted by (anchor, cell), one batch of whole cells at a time."""
+def by_cell(rows: DataFrame, columns: list[str], links: Callable) -> DataFrame:
+    """Links (a long, b long) from rows sorted by (anchor, cell), some whole cells at a time.
+
+    links(group, size, first, *columns) gives pairs of arrays; group numbers the rows' cells from 0, size and first
+    are those of the cells, and all but `node` of the columns are unsigned.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(anchor: np.ndarray, cell: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        def flush(anchor: np.ndarray, cell: np.ndarray, *own: np.ndarray) -> pa.RecordBatch:
             new = np.r_[True, (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])]
             group = np.cumsum(new) - 1
-            size = np.bincount(group)
-            small = size[group] <= SMALL_GROUP
-            found = [_small_links(group[small], fp[small], threshold)]
-            first = np.flatnonzero(new)
-            found += [_large_links(fp[first[g] : first[g] + size[g]], threshold) for g in np.flatnonzero(size > SMALL_GROUP)]
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)) for i in (0, 1)], ["a", "b"])
+            own = [x.view(np.uint64) for x in own]
+            found = list(links(group, np.bincount(group), np.flatnonzero(new), *own))
+            pairs = np.concatenate([np.stack([np.minimum(a, b), np.maximum(a, b)], 1) for a, b in found]) if found else np.zeros((0, 2), np.uint64)
+            pairs = np.unique(pairs, axis=0).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], ["a", "b"])
 
         held: list[tuple[np.ndarray, ...]] = []
-        rows = 0
+        n = 0
         for batch in batches:
-            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
-            rows += batch.num_rows
-            if rows < BUFFER_ROWS:
+            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+            n += batch.num_rows
+            if n < BUFFER_ROWS:
                 continue
-            anchor, cell, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            last = np.flatnonzero((anchor != anchor[-1]) | (cell != cell[-1]))
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
             cut = last[-1] + 1 if len(last) else 0  # the last cell may go on
             if cut:
-                yield flush(anchor[:cut], cell[:cut], fp[:cut].view(np.uint64))
-            held, rows = [(anchor[cut:], cell[cut:], fp[cut:])], len(fp) - cut
-        if rows:
-            anchor, cell, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield flush(anchor, cell, fp.view(np.uint64))
+                yield flush(*(c[:cut] for c in cols))
+            held, n = [tuple(c[cut:] for c in cols)], n - cut
+        if n:
+            yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return cells.mapInArrow(run, "a long, b long")
+    return rows.select("anchor", "cell", *columns).mapInArrow(run, "a long, b long")
 
 
-def similar(distinct: DataFrame, threshold: int, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (fp long) that connect exactly those within `threshold` bits.
-
-    Per anchor a link leads to the least fingerprint that the anchor's own links reach, so the rows stay below
-    the number of replicas. An anchor with more than `cell_rows` rows is cut into chunks by a hash of the
-    fingerprint, and each pair of chunks is compared in a cell of its own.
-    """
-    replicas = _replicate(distinct, threshold)
+def cells(replicas: DataFrame, ties: list[str], cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Replicas dealt by (anchor, cell) and sorted so. An anchor with more than `cell_rows` rows is cut into chunks by a
+    hash of the fingerprint and `ties`, and each pair of chunks is compared in a cell of its own."""
     hot = store(
         replicas.groupBy("anchor").count().where(F.col("count") > cell_rows).select("anchor", F.ceil(F.col("count") / cell_rows).cast("int").alias("chunks")),
         "hot-anchors",
     )
-    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    chunk = F.pmod(F.xxhash64("fp", *ties), F.col("chunks")).cast("int")
     cell = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(F.col("chunk"), j) * F.col("chunks") + F.greatest(F.col("chunk"), j))
-    cells = (
+    dealt = (
         replicas.join(hot, "anchor", "left")
         .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
         .withColumn("chunk", chunk)
-        .select("anchor", F.explode(cell).alias("cell"), "fp")
+        .select("anchor", F.explode(cell).alias("cell"), "fp", *ties)
     )
-    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _links(cells.repartition(n, "anchor", "cell").sortWithinPartitions("anchor", "cell", "fp"), threshold)
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "anchor", "cell").sortWithinPartitions("anchor", "cell", "fp", *ties)
+
+
+def similar(distinct: DataFrame, threshold: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (fp long) that connect exactly those within `threshold` bits.
+
+    Per anchor a link leads to the least fingerprint that the anchor's own links reach, so the rows stay below
+    the number of replicas.
+    """
+
+    def links(group: np.ndarray, size: np.ndarray, first: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        small = size[group] <= SMALL_GROUP
+        yield _small_links(group[small], fp[small], threshold)
+        for g in np.flatnonzero(size > SMALL_GROUP):
+            yield _large_links(fp[first[g] : first[g] + size[g]], threshold)
+
+    return by_cell(cells(replicate(distinct.select("fp"), threshold), [], cell_rows), ["fp"], links)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 4) -> DataFrame:
