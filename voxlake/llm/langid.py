@@ -162,14 +162,14 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, letters: int = LETT
     return known, (matrix / np.linalg.norm(matrix, axis=1, keepdims=True)).astype(np.float32)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], dimensions: int = DIMENSIONS, letters: int = LETTERS) -> DataFrame:
-    """docs' `keep` columns with lang_pred and score (the cosine, not below 0) from the whole text.
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], names: tuple[str, str] = ("lang_pred", "score"), dimensions: int = DIMENSIONS, letters: int = LETTERS) -> DataFrame:
+    """docs' `keep` columns with lang_pred and score (or other `names`) (the cosine, not below 0) from the whole text.
 
     `und` with score 0 for a null text, one without a letter, or a model without languages. Ties go to the language
     that sorts first. Rows keep their number; the input may be empty.
     """
     known, prototypes = model
-    fields = extended(docs.select(*keep), "lang_pred string, score double")
+    fields = extended(docs.select(*keep), f"{names[0]} string, {names[1]} double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space(dimensions, letters)
@@ -193,8 +193,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
                     where = first + at + np.flatnonzero(there)
                     best[where] = top[there]
                     score[where] = np.clip(cosine[np.arange(len(top)), top], 0, 1)[there]
-            names = [known[i] if i >= 0 else UNKNOWN for i in best]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score)], fields.names)
+            found = [known[i] if i >= 0 else UNKNOWN for i in best]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(score)], fields.names)
 
     return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, fields)
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import katz, langid, packing, sharding, simhash, topk, warc
+from . import decontam, katz, langid, packing, pii, recount, sharding, simhash, topk, warc
 
 QUERIES = {
+    "op1_benchmark_leaks": decontam.op1_benchmark_leaks,
     "op2_katz_scores": katz.op2_katz_scores,
+    "op3_edit_recount": recount.op3_edit_recount,
     "op4_jump_shards": sharding.op4_jump_shards,
     "op5_simhash_components": simhash.op5_simhash_components,
     "op6_language_profiles": langid.op6_language_profiles,
     "op7_warc_round_trip": warc.op7_warc_round_trip,
     "op8_pattern_packing": packing.op8_pattern_packing,
     "op9_topk": topk.op9_topk,
+    "op10_personal_data": pii.op10_personal_data,
 }
 
 ORACLES = {
