@@ -53,10 +53,10 @@ def trilinear(points: DataFrame, at: list[str], image: DataFrame, keys: list[str
     Corners are rows of one equi-join, so the image and the points are each shuffled once.
     """
     corners = [F.struct(*[F.lit(c).alias(k) for k, c in zip(keys, o, strict=True)]) for o in itertools.product((0, 1), repeat=len(keys))]
-    rows = points.select(*ids, *at, F.explode(F.array(*corners)).alias("c"))
+    rows = points.select(*ids, *at, F.explode(F.array(*corners)).alias("_c"))
     base = {k: F.floor(a) for k, a in zip(keys, at, strict=True)}
-    share = [F.when(F.col(f"c.{k}") == 1, F.col(a) - base[k]).otherwise(1 - (F.col(a) - base[k])) for k, a in zip(keys, at, strict=True)]
-    placed = rows.select(*ids, *[(base[k] + F.col(f"c.{k}")).cast("int").alias(k) for k in keys], reduce(Column.__mul__, share).alias("_w")).where("_w > 0")
+    share = [F.when(F.col(f"_c.{k}") == 1, F.col(a) - base[k]).otherwise(1 - (F.col(a) - base[k])) for k, a in zip(keys, at, strict=True)]
+    placed = rows.select(*ids, *[(base[k] + F.col(f"_c.{k}")).cast("int").alias(k) for k in keys], reduce(Column.__mul__, share).alias("_w")).where("_w > 0")
     joined = placed.join(image.select(*keys, F.col(value).alias("_v")), keys, "left")
     return joined.groupBy(*ids).agg(F.sum(F.col("_w") * F.coalesce("_v", F.lit(0.0))).alias("sampled"))
 
