@@ -38,6 +38,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def make_dir(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as a table in the shared folder and read it back."""
     path = new_path(df.sparkSession, name)

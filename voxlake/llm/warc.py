@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, read_table
+from .common import make_dir, new_path, read_table
 
 #: Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -275,6 +275,7 @@ def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = pages.where(F.octet_length("html").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("page_id"), "page_id").select(F.col("html").cast("binary")).limit(SAMPLE_ROWS)
     dictionary = train_dictionary([bytes(r[0]) for r in sample.collect()])
     path = new_path(spark, "warc")
+    make_dir(spark, path)
     write_archives(captures(pages), path, dictionary).agg(F.sum("records")).collect()
     return read_archives(spark, path).select(
         "page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to"
