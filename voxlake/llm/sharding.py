@@ -63,7 +63,7 @@ def assign(docs: DataFrame, key: str, shards: int, ties: list[str], sub_buckets:
         {
             "shard": shard_of(F.col(key), shards),
             "grown_shard": shard_of(F.col(key), shards + 1),
-            "_sub": F.pmod(F.xxhash64(*ties), F.lit(sub_buckets)).cast("int"),
+            "_sub": (stable_key(F.concat_ws("/", *ties)) % sub_buckets).cast("int"),
         }
     )
     counts = placed.groupBy("shard", "_sub").agg(F.count("*").alias("_n"))
