@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import clustering, fixpoint, geometry, intensity, laminar, levelset, segmentation, statistics, stencil, surface
+from ..operators import clustering, fixpoint, geometry, intensity, laminar, levelset, segmentation, shape, statistics, stencil, surface
 from ..sources import tables
 from .catalogue import _AT, _BOX, _FLOOD, _MESH, _N6, _N18, _N26, _mask, _mesh, _table, query
 from .fixtures import GRID, KEYS, profiles, series, volume
@@ -239,3 +239,18 @@ def label_numbers(spark, d):
 @query()
 def half_normal_background(spark, d):
     return intensity.background_em(volume(spark, d), "v", "half-normal")
+
+
+@query()
+def shape_components(spark, d):
+    p = profiles(spark, d)
+    mean, variances, axes = shape.principal_components(p, "profile", 16, 3)
+    return shape.projected(p, ["vec_id"], "profile", mean, axes)
+
+
+@query()
+def label_embedding(spark, d):
+    v = volume(spark, d)
+    touching = stencil.stencil(v, KEYS, stencil.neighbours(6), ["tpl"], ["seg"]).groupBy(F.col("seg").alias("a"), (F.col("n_tpl") + 10).alias("b")).agg(F.count("*").cast("double").alias("w"))
+    rows = [(int(n), *map(float, c)) for n, c in shape.spectral_embedding(touching, "a", "b", "w", 2)]
+    return spark.createDataFrame(rows, "region int, e0 double, e1 double")
