@@ -109,7 +109,8 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     hashed = F.when(F.col("v").rlike("[0-9@]"), F.lit("#")).otherwise(F.col("v"))
     one = near.select(F.col("w").alias("pattern"), "count")
     two = near.select(F.concat_ws(" ", hashed, "w").alias("pattern"), "count")
-    return one.unionAll(two).groupBy("pattern").agg(F.sum("count").alias("times")).join(patterns, "pattern", "left_semi")
+    # an inner join with distinct patterns: a semi-join would be moved below the sums, to every pair of words
+    return one.unionAll(two).groupBy("pattern").agg(F.sum("count").alias("times")).join(patterns.distinct(), "pattern")
 
 
 def discover(found: DataFrame, docs: DataFrame, least_seeds: int = LEAST_SEEDS, rounds: int = ROUNDS) -> DataFrame:
