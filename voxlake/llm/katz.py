@@ -33,7 +33,9 @@ HEAD = 1 << 16
 #: Counts up to this are discounted by Good-Turing; larger ones lose TRIM of a count.
 LARGE, TRIM = 5, 0.01
 #: Tokens of a block that a map task holds, and of a bucket.
-BLOCK_TOKENS, BUCKET_TOKENS = 2_500_000, 4_000_000
+BLOCK_TOKENS, BUCKET_TOKENS = 1_250_000, 2_000_000
+#: Rows of a batch that a bucket gives back.
+SHARE_ROWS = 1 << 15
 #: Word hashes kept per Python worker.
 CACHE_WORDS = 400_000
 END, BEGIN = xxhash.xxh64_intdigest(b""), xxhash.xxh64_intdigest(b" ")  # no word is empty or holds a blank
@@ -250,17 +252,16 @@ def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(keys) else np.zeros(0, np.int64)
 
 
-def bucket_shares(blobs: list[bytes], words: Words) -> list[pa.Table]:
+def bucket_shares(blobs: list[bytes], words: Words) -> Iterator[pa.Table]:
     """All that follows from the pairs of one bucket."""
-    out = []
     for blob in blobs:
         if blob[:1] == b"H":
             with pa.ipc.open_stream(blob[1:]) as stream:
                 t = stream.read_all()
-            out.append(_share(0, len(t), key=t["doc"].combine_chunks(), **{k: t[k].combine_chunks() for k in ("doc_id", "held_out", "n_tokens", "known", "base", "fixed")}))
+            yield _share(0, len(t), key=t["doc"].combine_chunks(), **{k: t[k].combine_chunks() for k in ("doc_id", "held_out", "n_tokens", "known", "base", "fixed")})
     found = [_unpack(b, words) for b in blobs if b[:1] == b"D"]
     if not found:
-        return out
+        return
     first, second, rank, doc, train = (np.concatenate(x) for x in zip(*found, strict=True))
     del found
     # training count of each pair
@@ -291,13 +292,13 @@ def bucket_shares(blobs: list[bytes], words: Words) -> list[pa.Table]:
     context = known[second[known] != END]
     fixed[context] -= np.log10(count[context])
     shares = {f"r{k}": np.bincount(at[r == k], minlength=n) for k in range(1, LARGE + 1)}
-    out.append(_share(0, n, key=who, known=np.bincount(at[known], minlength=n), base=np.bincount(at[tail], words.base(count[tail]), n), fixed=np.bincount(at, fixed, n), **shares))
+    yield _share(0, n, key=who, known=np.bincount(at[known], minlength=n), base=np.bincount(at[tail], words.base(count[tail]), n), fixed=np.bincount(at, fixed, n), **shares)
     # pairs unseen in training, by document and context
     if unseen.any():
         key = doc[unseen]
         pair, edge = _grouped(_mix(key.view(np.uint64), first[unseen]))
         lead = pair[edge]
-        out.append(_share(2, len(edge), key=key[lead], large=first[unseen][lead].view(np.int64), larges=np.diff(np.r_[edge, len(pair)])))
+        yield _share(2, len(edge), key=key[lead], large=first[unseen][lead].view(np.int64), larges=np.diff(np.r_[edge, len(pair)]))
     # contexts, counts of counts and the pair counts themselves
     seen = np.flatnonzero(r_type > 0)
     if len(seen):
@@ -306,12 +307,11 @@ def bucket_shares(blobs: list[bytes], words: Words) -> list[pa.Table]:
         r_by = r_seen[by]
         sums = {f"r{k}": np.add.reduceat((r_by == k).astype(np.int64), edge) for k in range(1, LARGE + 1)}
         big = r_by > LARGE
-        out.append(_share(1, len(edge), key=first[lead][by][edge].view(np.int64), large=np.add.reduceat(big.astype(np.int64), edge), larges=np.add.reduceat(np.where(big, r_by, 0), edge), mass=np.add.reduceat(words.probability(count[lead])[by], edge), **sums))
+        yield _share(1, len(edge), key=first[lead][by][edge].view(np.int64), large=np.add.reduceat(big.astype(np.int64), edge), larges=np.add.reduceat(np.where(big, r_by, 0), edge), mass=np.add.reduceat(words.probability(count[lead])[by], edge), **sums)
         hist = np.bincount(np.minimum(r_seen, LARGE + 2), minlength=LARGE + 3)
-        out.append(_share(3, LARGE + 1, key=np.arange(1, LARGE + 2), large=hist[1 : LARGE + 2]))
+        yield _share(3, LARGE + 1, key=np.arange(1, LARGE + 2), large=hist[1 : LARGE + 2])
         ranks = words.rank(first[lead]), rank[lead]
-        out.append(_share(4, 1, blob=[_pack(first[lead], second[lead], r_seen, 0, np.zeros(0, bool), ranks, len(words.word))]))
-    return out
+        yield _share(4, 1, blob=[_pack(first[lead], second[lead], r_seen, 0, np.zeros(0, bool), ranks, len(words.word))])
 
 
 def scores(docs: DataFrame, training: Column, path: str | None = None) -> DataFrame:
@@ -340,12 +340,31 @@ def scores(docs: DataFrame, training: Column, path: str | None = None) -> DataFr
     buckets = max(32, -(-tokens // BUCKET_TOKENS))
     shared = spark.sparkContext.broadcast(words)
 
-    def work(group: pa.Table) -> pa.Table:
-        tables = bucket_shares(group.column("blob").to_pylist(), shared.value)
-        return pa.concat_tables(tables)
-
-    shares = _pairs(rows, words, buckets, starts).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(work, SHARES)
-    shares.write.partitionBy("kind").parquet(f"{path}/pairs")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shares(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+            for table in bucket_shares(blobs, shared.value):
+                yield from table.to_batches(max_chunksize=SHARE_ROWS)
+
+        held: list[bytes] = []
+        now = None
+        for batch in batches:  # sorted by bucket
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != now and held:
+                    yield from shares(held)
+                    held = []
+                now = bucket
+                held.append(blob)
+        if held:
+            yield from shares(held)
+
+    shares = _pairs(rows, words, buckets, starts).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(work, SHARES)
+    writers = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "8")  # a file per kind, so rows needn't be sorted by it
+    try:
+        shares.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/pairs")
+    finally:
+        spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", writers)
+    del shares  # its shuffle can go only when nothing refers to it
     release_shuffles(spark)
     schema = SHARES.replace("kind int, ", "") + ", kind int"
     pairs = spark.read.schema(schema).parquet(f"{path}/pairs")
