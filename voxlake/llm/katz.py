@@ -37,7 +37,7 @@ BLOCK_TOKENS, BUCKET_TOKENS = 1_250_000, 2_000_000
 #: Rows of a batch that a bucket gives back.
 SHARE_ROWS = 1 << 15
 #: Word hashes kept per Python worker.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 END, BEGIN = xxhash.xxh64_intdigest(b""), xxhash.xxh64_intdigest(b" ")  # no word is empty or holds a blank
 
 
@@ -240,9 +240,12 @@ def _schema() -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in map(str.split, SHARES.split(", "))])
 
 
-def _share(kind: int, n: int, **cols: object) -> pa.Table:
-    cols = {"kind": np.full(n, kind, np.int32)} | cols
-    return pa.Table.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in _schema()], schema=_schema())
+def _share(kind: int, n: int, **cols: object) -> Iterator[pa.RecordBatch]:
+    """Rows of one kind as batches of SHARE_ROWS; columns that are not given are null."""
+    for at in range(0, n, SHARE_ROWS):
+        m = min(SHARE_ROWS, n - at)
+        own = {"kind": np.full(m, kind, np.int32)} | {k: v[at : at + m] for k, v in cols.items()}
+        yield pa.RecordBatch.from_arrays([pa.array(own[f.name], f.type) if f.name in own else pa.nulls(m, f.type) for f in _schema()], schema=_schema())
 
 
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,13 +255,13 @@ def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(keys) else np.zeros(0, np.int64)
 
 
-def bucket_shares(blobs: list[bytes], words: Words) -> Iterator[pa.Table]:
+def bucket_shares(blobs: list[bytes], words: Words) -> Iterator[pa.RecordBatch]:
     """All that follows from the pairs of one bucket."""
     for blob in blobs:
         if blob[:1] == b"H":
             with pa.ipc.open_stream(blob[1:]) as stream:
                 t = stream.read_all()
-            yield _share(0, len(t), key=t["doc"].combine_chunks(), **{k: t[k].combine_chunks() for k in ("doc_id", "held_out", "n_tokens", "known", "base", "fixed")})
+            yield from _share(0, len(t), key=t["doc"].combine_chunks(), **{k: t[k].combine_chunks() for k in ("doc_id", "held_out", "n_tokens", "known", "base", "fixed")})
     found = [_unpack(b, words) for b in blobs if b[:1] == b"D"]
     if not found:
         return
@@ -271,6 +274,7 @@ def bucket_shares(blobs: list[bytes], words: Words) -> Iterator[pa.Table]:
     type_of[order] = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(order)]))
     example = order[start]
     r = r_type[type_of]
+    del order, type_of
     # training count of the second word
     count = np.zeros(len(second), np.int64)
     in_head = rank >= 0
@@ -292,13 +296,13 @@ def bucket_shares(blobs: list[bytes], words: Words) -> Iterator[pa.Table]:
     context = known[second[known] != END]
     fixed[context] -= np.log10(count[context])
     shares = {f"r{k}": np.bincount(at[r == k], minlength=n) for k in range(1, LARGE + 1)}
-    yield _share(0, n, key=who, known=np.bincount(at[known], minlength=n), base=np.bincount(at[tail], words.base(count[tail]), n), fixed=np.bincount(at, fixed, n), **shares)
+    yield from _share(0, n, key=who, known=np.bincount(at[known], minlength=n), base=np.bincount(at[tail], words.base(count[tail]), n), fixed=np.bincount(at, fixed, n), **shares)
     # pairs unseen in training, by document and context
     if unseen.any():
         key = doc[unseen]
         pair, edge = _grouped(_mix(key.view(np.uint64), first[unseen]))
         lead = pair[edge]
-        yield _share(2, len(edge), key=key[lead], large=first[unseen][lead].view(np.int64), larges=np.diff(np.r_[edge, len(pair)]))
+        yield from _share(2, len(edge), key=key[lead], large=first[unseen][lead].view(np.int64), larges=np.diff(np.r_[edge, len(pair)]))
     # contexts, counts of counts and the pair counts themselves
     seen = np.flatnonzero(r_type > 0)
     if len(seen):
@@ -307,11 +311,11 @@ def bucket_shares(blobs: list[bytes], words: Words) -> Iterator[pa.Table]:
         r_by = r_seen[by]
         sums = {f"r{k}": np.add.reduceat((r_by == k).astype(np.int64), edge) for k in range(1, LARGE + 1)}
         big = r_by > LARGE
-        yield _share(1, len(edge), key=first[lead][by][edge].view(np.int64), large=np.add.reduceat(big.astype(np.int64), edge), larges=np.add.reduceat(np.where(big, r_by, 0), edge), mass=np.add.reduceat(words.probability(count[lead])[by], edge), **sums)
+        yield from _share(1, len(edge), key=first[lead][by][edge].view(np.int64), large=np.add.reduceat(big.astype(np.int64), edge), larges=np.add.reduceat(np.where(big, r_by, 0), edge), mass=np.add.reduceat(words.probability(count[lead])[by], edge), **sums)
         hist = np.bincount(np.minimum(r_seen, LARGE + 2), minlength=LARGE + 3)
-        yield _share(3, LARGE + 1, key=np.arange(1, LARGE + 2), large=hist[1 : LARGE + 2])
+        yield from _share(3, LARGE + 1, key=np.arange(1, LARGE + 2), large=hist[1 : LARGE + 2])
         ranks = words.rank(first[lead]), rank[lead]
-        yield _share(4, 1, blob=[_pack(first[lead], second[lead], r_seen, 0, np.zeros(0, bool), ranks, len(words.word))])
+        yield from _share(4, 1, blob=[_pack(first[lead], second[lead], r_seen, 0, np.zeros(0, bool), ranks, len(words.word))])
 
 
 def scores(docs: DataFrame, training: Column, path: str | None = None) -> DataFrame:
@@ -341,21 +345,17 @@ def scores(docs: DataFrame, training: Column, path: str | None = None) -> DataFr
     shared = spark.sparkContext.broadcast(words)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def shares(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-            for table in bucket_shares(blobs, shared.value):
-                yield from table.to_batches(max_chunksize=SHARE_ROWS)
-
         held: list[bytes] = []
         now = None
         for batch in batches:  # sorted by bucket
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if bucket != now and held:
-                    yield from shares(held)
+                    yield from bucket_shares(held, shared.value)
                     held = []
                 now = bucket
                 held.append(blob)
         if held:
-            yield from shares(held)
+            yield from bucket_shares(held, shared.value)
 
     shares = _pairs(rows, words, buckets, starts).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(work, SHARES)
     writers = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
