@@ -300,3 +300,31 @@ def test_pipeline_of_odd_rows(spark, table, rows):
         assert stage(spark, docs, folder).columns == docs.columns
     ids = {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()}
     assert ids == ({1, 7, 8, None, 11} if rows else set())
+
+
+def candidate(x, y, words=5):
+    """Whether two texts meet at an anchor within NEAR bits of the first fingerprint, and their exact resemblance."""
+    sets = [set(resemblance.shingle_hashes(t.encode(), words)[1].tolist()) for t in (x, y)]
+    hashes = [np.unique(resemblance.shingle_hashes(t.encode(), words)[1]) for t in (x, y)]
+    prints = [[simhash.majority(resemblance._mixed(h, w)) for w in range(resemblance.WORDS)] for h in hashes]
+    near = (prints[0][0] ^ prints[1][0]).bit_count() <= resemblance.NEAR
+    meet = any(set(simhash.anchors(np.array([a], np.uint64), 4)[1]) & set(simhash.anchors(np.array([b], np.uint64), 4)[1]) for a, b in zip(*prints))
+    return near and meet, len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_copies_in_a_family_just_below_the_resemblance_are_linked(spark):
+    random.seed(8)
+    changed = lambda text, n: [f"c{random.random()}" if i in at else w for at in [set(random.sample(range(200), n))] for i, w in enumerate(text)]
+    template = [f"w{i}" for i in range(200)]
+    rows, planted = [], []
+    for n in range(400):
+        variant = changed(template, 3)
+        rows.append((n, " ".join(variant)))
+        if n % 4 == 0:
+            rows.append((1000 + n, " ".join(changed(variant, 4))))
+            near, exact = candidate(rows[-2][1], rows[-1][1])
+            if near and exact >= 0.8:
+                planted.append((n, 1000 + n))
+    assert len(planted) > 50
+    of = {r.doc_id: r.component for r in resemblance.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(a, b) for a, b in planted if of[a] != of[b]] == []

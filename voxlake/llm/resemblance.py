@@ -2,10 +2,11 @@
 
 At a resemblance of 0.8, two 64-bit fingerprints differ in some ten bits, too many for a guarantee by blocks. So each
 text gets WORDS fingerprints of independent hashes, every one dealt to covering anchors as in `simhash`. What meets at
-an anchor and differs in at most NEAR bits of the first fingerprint is a candidate; per anchor the candidates'
-minimum spanning forest by that distance is kept, which connects what all candidates connect, nearest first. Its
-edges are then measured on bottom-k sketches of the shingle sets, which are the sets themselves up to SKETCH
-shingles.
+an anchor, differs in at most NEAR bits of the first fingerprint and has a number of shingles that the resemblance
+allows is a candidate. Candidates are measured in two passes. The first measures per anchor their minimum spanning
+forest by distance, nearest first, which settles groups of true copies in few pairs. Any edge of it may fail, so the
+second measures every other candidate whose ends the first pass has not connected. Measures are taken on bottom-k
+sketches of the shingle sets, which are the sets themselves up to SKETCH shingles.
 """
 
 from __future__ import annotations
@@ -51,22 +52,24 @@ def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, node, f0.., sketch) per document: node is the same for equal normalised texts."""
+    """(doc_id, node, shingles, f0.., sketch) per document: node is the same for equal normalised texts, shingles
+    the number of different ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, prints, sketches = [], [], []
+            nodes, sizes, prints, sketches = [], [], [], []
             for text in batch.column(1).to_pylist():
                 node, hashes = shingle_hashes(text or b"", words)
                 hashes = np.unique(hashes)
                 nodes.append(node)
+                sizes.append(len(hashes))
                 prints.append([simhash.majority(_mixed(hashes, w)) for w in range(WORDS)])
                 sketches.append(np.sort(_mixed(hashes, WORDS) >> np.uint64(32)).astype(np.uint32)[:SKETCH].tobytes())
             table = np.array(prints, np.uint64).reshape(-1, WORDS).view(np.int64)
-            cols = [batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(table[:, w])) for w in range(WORDS)), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", *(f"f{w}" for w in range(WORDS)), "sketch"])
+            cols = [batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(table[:, w])) for w in range(WORDS)), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "shingles", *(f"f{w}" for w in range(WORDS)), "sketch"])
 
-    schema = "doc_id long, node long, " + ", ".join(f"f{w} long" for w in range(WORDS)) + ", sketch binary"
+    schema = "doc_id long, node long, shingles long, " + ", ".join(f"f{w} long" for w in range(WORDS)) + ", sketch binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
@@ -96,46 +99,101 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
         label = simhash.rooted(n, x[chosen], y[chosen])[label]
 
 
-def _dense_forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges within NEAR bits of a minimum spanning forest of one large group (Prim)."""
+def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of x and y elements can have the resemblance: it is at most the lesser size over the larger."""
+    return np.minimum(x, y) / np.maximum(np.maximum(x, y), np.uint64(1)) >= similarity
+
+
+def _dense_forest(fp: np.ndarray, shingles: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of the candidates' minimum spanning forest of one large group (Prim), and who has candidates beside it."""
     n = len(fp)
     near, via, left, a, b = np.full(n, 65), np.zeros(n, np.int64), np.arange(n), [], []
+    degree = np.zeros(n, np.int64)
     at = 0
     while True:
         left = left[left != at]
         if not len(left):
-            return np.array(a, np.int64), np.array(b, np.int64)
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            return a, b, np.flatnonzero(degree > np.bincount(np.concatenate([a, b]), minlength=n))
         d = np.bitwise_count(fp[left] ^ fp[at]).astype(np.int64)
-        closer = left[d < near[left]]
-        near[closer], via[closer] = d[d < near[left]], at
+        d[~_alike(shingles[left], shingles[at], similarity)] = 65
+        hit = left[d <= NEAR]
+        degree[hit] += 1
+        degree[at] += len(hit)
+        closer = d < near[left]
+        near[left[closer]], via[left[closer]] = d[closer], at
         at = int(left[np.argmin(near[left])])
         if near[at] <= NEAR:
             a.append(int(via[at]))
             b.append(at)
 
 
-def _candidates(cells: DataFrame) -> DataFrame:
-    def links(group: np.ndarray, size: np.ndarray, first: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _small_pairs(group: np.ndarray, fp: np.ndarray, shingles: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All candidates inside small groups of equal `group` (sorted), and their distances."""
+    end = np.searchsorted(group, group, side="right")
+    at, pairs = np.arange(len(fp)), []
+    step = 1
+    while len(at := at[at + step < end[at]]):
+        d = np.bitwise_count(fp[at] ^ fp[at + step])
+        hit = (d <= NEAR) & _alike(shingles[at], shingles[at + step], similarity)
+        pairs.append((at[hit], at[hit] + step, d[hit]))
+        step += 1
+    if not pairs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*pairs, strict=True))
+
+
+def _candidates(cells: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of each cell's forest, and (a, a) for every node with candidates that the forest leaves out."""
+
+    def links(group: np.ndarray, size: np.ndarray, first: np.ndarray, fp: np.ndarray, node: np.ndarray, shingles: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         small = np.flatnonzero(size[group] <= simhash.SMALL_GROUP)
-        own, g = fp[small], group[small]
-        end = np.searchsorted(g, g, side="right")
-        at, pairs = np.arange(len(own)), []
-        step = 1
-        while len(at := at[at + step < end[at]]):
-            d = np.bitwise_count(own[at] ^ own[at + step])
-            hit = d <= NEAR
-            pairs.append((at[hit], at[hit] + step, d[hit]))
-            step += 1
-        if pairs:
-            a, b, d = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        own = node[small]
+        a, b, d = _small_pairs(group[small], fp[small], shingles[small], similarity)
+        if len(a):
             take = _forest(len(own), a, b, d)
-            yield node[small[a[take]]], node[small[b[take]]]
+            yield own[a[take]], own[b[take]]
+            rest = np.unique(np.concatenate([np.delete(a, take), np.delete(b, take)]))
+            yield own[rest], own[rest]
         for k in np.flatnonzero(size > simhash.SMALL_GROUP):
             span = slice(first[k], first[k] + size[k])
-            a, b = _dense_forest(fp[span])
+            a, b, rest = _dense_forest(fp[span], shingles[span], similarity)
             yield node[span][a], node[span][b]
+            yield node[span][rest], node[span][rest]
+
+    return simhash.by_cell(cells, ["fp", "node", "shingles"], links)
 
-    return simhash.by_cell(cells, ["fp", "node"], links)
+
+def _crossing(cells: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of every candidate whose ends have different roots."""
+
+    def links(group: np.ndarray, size: np.ndarray, first: np.ndarray, fp: np.ndarray, node: np.ndarray, shingles: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        small = np.flatnonzero(size[group] <= simhash.SMALL_GROUP)
+        a, b, _ = _small_pairs(group[small], fp[small], shingles[small], similarity)
+        a, b = small[a], small[b]
+        apart = root[a] != root[b]
+        yield node[a[apart]], node[b[apart]]
+        for k in np.flatnonzero(size > simhash.SMALL_GROUP):
+            for at in range(first[k], first[k] + size[k] - 1):
+                rest = slice(at + 1, first[k] + size[k])
+                hit = np.flatnonzero((root[rest] != root[at]) & (np.bitwise_count(fp[rest] ^ fp[at]) <= NEAR) & _alike(shingles[rest], shingles[at], similarity))
+                if len(hit):
+                    yield np.full(len(hit), node[at]), node[rest][hit]
+
+    return simhash.by_cell(cells, ["fp", "node", "shingles", "root"], links)
+
+
+def _verified(edges: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) whose ends have the resemblance."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [resemblance(x, y) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    first = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
+    second = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
+    return store(edges.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(measure, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -147,21 +205,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     probability 0.85, at 0.85 with 0.95, at 0.9 with 0.99; what is measured below `similarity` is not linked.
     """
     prints = store(signatures(docs, words), "signatures")
-    firsts = [F.first(c).alias(c) for c in [*(f"f{w}" for w in range(WORDS)), "sketch"]]
+    prints_of = [f"f{w}" for w in range(WORDS)]
+    firsts = [F.first(c).alias(c) for c in ["shingles", *prints_of, "sketch"]]
     nodes = store(prints.groupBy("node").agg(*firsts), "nodes")
-    replicas = simhash.replicate(nodes.select("node", *(f"f{w}" for w in range(WORDS))), 4, WORDS)
-    edges = store(_candidates(simhash.cells(replicas, ["node"])).distinct(), "candidates")
+    replicas = simhash.replicate(nodes.select("node", "shingles", *prints_of), 4, WORDS)
+    found = store(_candidates(simhash.cells(replicas, ["node", "shingles"]), similarity).distinct(), "candidates")
     release_shuffles(docs.sparkSession)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [resemblance(x, y) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    first = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
-    second = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
-    linked = edges.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(measure, "a long, b long")
-    rooted = connected_components(store(linked, "links"))
+    edges, left = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("node"))
+    rooted = connected_components(_verified(edges, nodes, similarity))
+    if not left.isEmpty():
+        release_shuffles(docs.sparkSession)
+        again = nodes.join(left, "node").join(rooted, "node", "left").withColumn("root", F.coalesce("component", "node"))
+        replicas = simhash.replicate(again.select("node", "shingles", "root", *prints_of), 4, WORDS)
+        crossing = _crossing(simhash.cells(replicas, ["node", "shingles", "root"]), similarity).distinct()
+        more = _verified(store(crossing.join(edges, ["a", "b"], "left_anti"), "crossing"), nodes, similarity)
+        rooted = connected_components(rooted.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
     return prints.select("doc_id", "node").join(rooted, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
 
 

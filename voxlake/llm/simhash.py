@@ -25,6 +25,8 @@ CELL_ROWS = 8192
 #: Up to this size, groups of one anchor are compared together, with array shifts.
 SMALL_GROUP = 64
 BUFFER_ROWS = 1 << 17
+#: Links held at a time before they are passed on.
+PAIR_ROWS = 1 << 20
 HAMMING_BITS = 15
 
 
@@ -176,15 +178,24 @@ def by_cell(rows: DataFrame, columns: list[str], links: Callable) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(anchor: np.ndarray, cell: np.ndarray, *own: np.ndarray) -> pa.RecordBatch:
-            new = np.r_[True, (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])]
-            group = np.cumsum(new) - 1
-            own = [x.view(np.uint64) for x in own]
-            found = list(links(group, np.bincount(group), np.flatnonzero(new), *own))
+        def distinct(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             pairs = np.concatenate([np.stack([np.minimum(a, b), np.maximum(a, b)], 1) for a, b in found]) if found else np.zeros((0, 2), np.uint64)
             pairs = np.unique(pairs, axis=0).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], ["a", "b"])
 
+        def flush(anchor: np.ndarray, cell: np.ndarray, *own: np.ndarray) -> Iterator[pa.RecordBatch]:
+            new = np.r_[True, (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])]
+            group = np.cumsum(new) - 1
+            own = [x.view(np.uint64) for x in own]
+            found, n = [], 0
+            for a, b in links(group, np.bincount(group), np.flatnonzero(new), *own):
+                found.append((a, b))
+                n += len(a)
+                if n >= PAIR_ROWS:
+                    yield distinct(found)
+                    found, n = [], 0
+            yield distinct(found)
+
         held: list[tuple[np.ndarray, ...]] = []
         n = 0
         for batch in batches:
@@ -196,10 +207,10 @@ def by_cell(rows: DataFrame, columns: list[str], links: Callable) -> DataFrame:
             last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
             cut = last[-1] + 1 if len(last) else 0  # the last cell may go on
             if cut:
-                yield flush(*(c[:cut] for c in cols))
+                yield from flush(*(c[:cut] for c in cols))
             held, n = [tuple(c[cut:] for c in cols)], n - cut
         if n:
-            yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return rows.select("anchor", "cell", *columns).mapInArrow(run, "a long, b long")
 
