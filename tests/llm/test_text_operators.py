@@ -328,3 +328,18 @@ def test_copies_in_a_family_just_below_the_resemblance_are_linked(spark):
     assert len(planted) > 50
     of = {r.doc_id: r.component for r in resemblance.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [(a, b) for a, b in planted if of[a] != of[b]] == []
+
+
+def test_long_texts_are_measured_on_all_their_shingles(spark):
+    random.seed(9)
+    rows, want = [], {}
+    for n in range(120):
+        base = [f"p{n}w{i}" for i in range(900)]
+        at = set(random.sample(range(900), random.randint(17, 24)))
+        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join("new" if i in at else w for i, w in enumerate(base)))]
+        near, exact = candidate(rows[-2][1], rows[-1][1])
+        if near:
+            want[n] = exact >= 0.8
+    assert 20 < sum(want.values()) < len(want) - 20
+    of = {r.doc_id: r.component for r in resemblance.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {n: of[2 * n] == of[2 * n + 1] for n in want} == want

@@ -5,13 +5,15 @@ text gets WORDS fingerprints of independent hashes, every one dealt to covering
 an anchor, differs in at most NEAR bits of the first fingerprint and has a number of shingles that the resemblance
 allows is a candidate. Candidates are measured in two passes. The first measures per anchor their minimum spanning
 forest by distance, nearest first, which settles groups of true copies in few pairs. Any edge of it may fail, so the
-second measures every other candidate whose ends the first pass has not connected. Measures are taken on bottom-k
-sketches of the shingle sets, which are the sets themselves up to SKETCH shingles.
+second measures every other candidate whose ends the first pass has not connected. A measure looks at bottom-k
+sketches of the shingle sets first, which are the sets themselves below SKETCH shingles. Where a set is larger the
+sketch only rejects what is clearly below; the rest is measured on all shingles of both texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,9 @@ from .common import extended, release_shuffles, store
 from .components import connected_components
 
 WORDS, SKETCH, NEAR = 4, 256, 14
+#: A sketch rejects what it puts so far below the resemblance asked for. By Hoeffding's bound it errs by as much in one
+#: of exp(2 * 256 * 0.2 ** 2) = 7.8e8 pairs.
+MARGIN = 0.2
 
 
 def shingle_hashes(text: bytes, words: int) -> tuple[int, np.ndarray]:
@@ -183,17 +188,41 @@ def _crossing(cells: DataFrame, similarity: float) -> DataFrame:
     return simhash.by_cell(cells, ["fp", "node", "shingles", "root"], links)
 
 
-def _verified(edges: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) whose ends have the resemblance."""
+def _verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Edges (a, b) whose ends have the resemblance, from sketches and, for large sets, from the texts."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            whole = np.array([max(len(i), len(j)) < 4 * SKETCH for i, j in zip(x, y, strict=True)], bool)
+            value = np.array([resemblance(i, j) for i, j in zip(x, y, strict=True)])
+            take = pa.array(value >= np.where(whole, similarity, similarity - MARGIN))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(whole)], ["a", "b", "whole"]).filter(take)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = lru_cache(64)(lambda text: np.unique(shingle_hashes(text, words)[1]))
         for batch in batches:
-            keep = [resemblance(x, y) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = shingles(x.as_py()), shingles(y.as_py())
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both / (len(x) + len(y) - both) >= similarity)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    first = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
-    second = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
-    return store(edges.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(measure, "a long, b long"), "links")
+    def sides(table: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        return table.select(F.col("node").alias("a"), F.col(column).alias("x")), table.select(F.col("node").alias("b"), F.col(column).alias("y"))
+
+    first, second = sides(nodes, "sketch")
+    judged = store(edges.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long, whole boolean"), "judged")
+    links, doubtful = judged.where("whole").select("a", "b"), judged.where("not whole").select("a", "b")
+    if doubtful.isEmpty():
+        return links
+    release_shuffles(docs.sparkSession)
+    needed = doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    found = with_node(docs.select("text"), "node").join(needed, "node", "left_semi")
+    texts = store(found.groupBy("node").agg(F.first(F.col("text").cast("binary")).alias("text")), "texts")
+    first, second = sides(texts, "text")
+    return links.unionAll(store(doubtful.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(measure, "a long, b long"), "links"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -212,13 +241,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     found = store(_candidates(simhash.cells(replicas, ["node", "shingles"]), similarity).distinct(), "candidates")
     release_shuffles(docs.sparkSession)
     edges, left = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("node"))
-    rooted = connected_components(_verified(edges, nodes, similarity))
+    rooted = connected_components(_verified(edges, nodes, docs, words, similarity))
     if not left.isEmpty():
         release_shuffles(docs.sparkSession)
         again = nodes.join(left, "node").join(rooted, "node", "left").withColumn("root", F.coalesce("component", "node"))
         replicas = simhash.replicate(again.select("node", "shingles", "root", *prints_of), 4, WORDS)
         crossing = _crossing(simhash.cells(replicas, ["node", "shingles", "root"]), similarity).distinct()
-        more = _verified(store(crossing.join(edges, ["a", "b"], "left_anti"), "crossing"), nodes, similarity)
+        more = _verified(store(crossing.join(edges, ["a", "b"], "left_anti"), "crossing"), nodes, docs, words, similarity)
         rooted = connected_components(rooted.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
     return prints.select("doc_id", "node").join(rooted, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
 
