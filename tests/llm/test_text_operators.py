@@ -343,3 +343,10 @@ def test_long_texts_are_measured_on_all_their_shingles(spark):
     assert 20 < sum(want.values()) < len(want) - 20
     of = {r.doc_id: r.component for r in resemblance.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {n: of[2 * n] == of[2 * n + 1] for n in want} == want
+
+
+def test_a_context_counts_from_the_same_seeds_in_a_large_corpus(spark, table):
+    rows = [(n, " ".join(f"their mail u{n}i{i}@x.org" for i in range(1000))) for n in range(45)]
+    rows += [(100 + n, f"their badge: q{n}@y.org here") for n in range(4)] + [(200, "their badge: joe1@intranet here")]
+    got = {r.doc_id: r.spans for r in pii.op10_personal_data(spark, table("documents", rows, "doc_id long, text string")).collect()}
+    assert got[200] == "email:13:26"

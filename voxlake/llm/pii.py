@@ -28,9 +28,6 @@ CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"
 SPACE = r"[\x20\x09-\x0D]+"
 #: A pattern counts from so many different seeds of a kind; it is trusted from such a confidence, an instance from such a score.
 LEAST_SEEDS, LEAST_CONFIDENCE, LEAST_SCORE, ROUNDS = 3, 0.6, 0.6, 3
-#: And from this share of the kind's different seeds, which bounds the number of patterns in any corpus: a seed's
-#: occurrences stand in two patterns each, so there are 2 / SEED_SHARE times the occurrences per seed at most.
-SEED_SHARE = 1e-4
 #: Characters before a match in which its left words are sought.
 CONTEXT_CHARS = 96
 
@@ -109,7 +106,7 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     hashed = F.transform(words, lambda w: F.when(w.rlike("[0-9@]"), F.lit("#")).otherwise(w))
     both = F.zip_with(words, F.concat(F.array(F.lit("^")), hashed), lambda w, v: F.array(w, F.concat_ws(" ", v, w)))
     every = docs.select(F.explode(F.filter(both, lambda p: p[0].isNotNull())).alias("p")).select(F.explode("p").alias("pattern"))
-    # the patterns' table is small, so each occurrence is counted where it is read
+    # where Spark finds the patterns' table small enough to broadcast, each occurrence is counted where it is read
     return every.join(patterns.distinct(), "pattern").groupBy("pattern").agg(F.count("*").alias("times"))
 
 
@@ -119,10 +116,7 @@ def discover(found: DataFrame, docs: DataFrame, least_seeds: int = LEAST_SEEDS,
     rows = found.where("kind is not null").select(F.explode(F.array("one", "two")).alias("pattern"), F.lower("value").alias("instance"), "kind").where("pattern not rlike '[#^]'")
     edges = rows.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n"))
     seeds = edges.where("kind < 4")
-    support = seeds.groupBy("pattern", F.col("kind").alias("as_kind")).agg(F.count("*").alias("seeds"))
-    every = seeds.groupBy(F.col("kind").alias("as_kind")).agg(F.countDistinct("instance").alias("all"))
-    enough = F.col("seeds") >= F.greatest(F.lit(least_seeds), F.ceil(F.col("all") * SEED_SHARE))
-    patterns = store(support.join(F.broadcast(every), "as_kind").where(enough).select("pattern", "as_kind"), "patterns")  # one row per kind
+    patterns = store(seeds.groupBy("pattern", F.col("kind").alias("as_kind")).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least_seeds).select("pattern", "as_kind"), "patterns")
     empty = "one string, two string, instance string, new_kind int"
     known = patterns.select("pattern").distinct()
     if known.isEmpty():
