@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 from pyspark.sql import functions as F
 
-from voxlake.operators import levelset, shape
+from voxlake.operators import fixpoint, levelset, shape
 from voxlake.streaming import windows
 
 KEYS = ["x", "y", "z"]
@@ -15,6 +15,11 @@ def grid(spark, places):
     return spark.createDataFrame([tuple(map(int, p)) for p in places], "x int, y int, z int")
 
 
+def test_distances_reach_the_end_of_a_long_line(spark):
+    rows = fixpoint.chamfer_distance(grid(spark, [(x, 0, 0) for x in range(68)]), KEYS, F.col("x") == 0, {1: 1.0}).collect()
+    assert sorted((r.x, r.distance) for r in rows) == [(x, float(x)) for x in range(68)]
+
+
 def test_eikonal_from_a_plane_is_exact(spark):
     rows = levelset.eikonal(grid(spark, itertools.product(range(5), range(4), range(4))), KEYS, F.col("x") == 0).collect()
     assert all(abs(r.distance - r.x) < 1e-9 for r in rows)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,11 +22,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], measure: Callable[[DataFrame], tuple], rounds: int = 200) -> DataFrame:
-    """Repeat step until the measure of two states is the same; each state is checkpointed."""
+def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], measure: Callable[[DataFrame], tuple], rounds: int | None = None) -> DataFrame:
+    """Repeat step until the measure of two states is the same, or `rounds` times where given; each state is checkpointed."""
     state = cut(state)
     seen = measure(state)
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         state = cut(step(state))
         now = measure(state)
         if now == seen:
@@ -87,7 +88,7 @@ def detection(a: DataFrame, b: DataFrame, keys: list[str], size: tuple[int, ...]
     return one.select("detected", "total_clusters", "total_detections", (F.col("total_detections") - F.col("_hit")).alias("false_detections"))
 
 
-def chamfer_distance(grid: DataFrame, keys: list[str], source: Column, weights: dict[int, float], rounds: int = 64) -> DataFrame:
+def chamfer_distance(grid: DataFrame, keys: list[str], source: Column, weights: dict[int, float], rounds: int | None = None) -> DataFrame:
     """Least weighted path length from `source` voxels through present voxels; weights by number of moved axes."""
     near = [(o, weights[sum(map(abs, o))]) for o in stencil.neighbours(26, len(keys)) if sum(map(abs, o)) in weights]
     moves = F.array(*[F.struct(*[F.lit(d).alias(k) for k, d in zip(keys, o, strict=True)], F.lit(w).alias("w")) for o, w in near])

@@ -33,7 +33,7 @@ def fused(rows: DataFrame, keys: list[str], phi: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.avg(phi).alias("phi"), F.count("*").alias("subjects"))
 
 
-def eikonal(grid: DataFrame, keys: list[str], source: Column, rounds: int = 80) -> DataFrame:
+def eikonal(grid: DataFrame, keys: list[str], source: Column, rounds: int | None = None) -> DataFrame:
     """Distance that solves the upwind Eikonal equation on present voxels, by repeated updates until none changes.
 
     Per axis the smaller neighbour counts; with the n smallest axes, distance = (s + sqrt(s^2 - n (q - 1))) / n for
