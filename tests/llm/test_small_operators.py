@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -70,6 +72,35 @@ def test_top_k_in_blocks_is_the_same(spark, data):
     assert sorted(topk.top_k(v, asked, 5).collect()) == sorted(topk.top_k(v, asked, 5, block=3).collect())
 
 
+def best_by_force(rows, k=5, every=50):
+    """All rows against all others, in Python integers."""
+    good = [(n, i, [math.floor(256 * Fraction(x)) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v is not None and None not in v and np.all(np.isfinite(v))]
+    out = []
+    for n, q, a in good:
+        if q % every == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for m, i, b in good if m != n)
+            out += [(q, r + 1, i, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_every_query_row_asks_and_large_components_count(spark, table, kind):
+    rng = np.random.default_rng(7)
+    rows = [(int(i), [float(x) for x in rng.integers(-9, 10, 5)]) for i in rng.integers(0, 100, 150)]
+    rows += [(50, [None, 1.0]), (50, [1.0, 1.0]), (50, [1.0, 1.0]), (50, [2.0, -1.0]), (50, [float("inf")])]
+    rows += [(150, [1e6] * 5), (150, [-1e6] * 5), (7, [262145.0] * 5), (8, [1e30, 1.0])]
+    if kind == "double":
+        rows += [(9, [1e300, -1e-300]), (100, [-1e300, 1.0]), (100, [1.7e308, 1.7e308])]
+    rows = [(i, v if v is None else [None if x is None else float(np.float32(x)) if kind == "float" else x for x in v]) for i, v in rows]
+    folder = table("embeddings", rows, f"vec_id long, embedding array<{kind}>")
+    assert sorted(map(tuple, topk.op9_topk(spark, folder).collect())) == best_by_force(rows)
+
+
+def test_top_k_of_no_rows_and_of_one(spark, table):
+    assert topk.op9_topk(spark, table("embeddings", [], "vec_id long, embedding array<float>")).count() == 0
+    assert topk.op9_topk(spark, table("embeddings", [(50, [1.0])], "vec_id long, embedding array<float>")).count() == 0
+
+
 def test_archives_round_trip(spark, table):
     pages = [(5, "http://a", "<p>é"), (2, "http://b\r\nX: y", "<p>é"), (7, None, None), (8, "u", ""), (2, "again", "<p>é"), (None, "n", "<p>é"), (9, "big", "z" * 300000)]
     folder = table("pages", pages, "page_id long, url string, html string")
