@@ -136,6 +136,20 @@ def test_ids_are_the_tokenizer_library_s(coder):
         assert coder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("n", [70_000, 2_000_000, 10_000_000])
+def test_ids_of_long_white_space(coder, n):
+    library = Tokenizer.from_file(bpe.default_vocabulary()[0])
+    blank, other = " " * n, "\n\u3000\x85" * (n // 3)
+    for text in (blank + "a", "a" + other + " b", f"x{blank}<|endoftext|>{other}", "a  b" + blank):
+        want = np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
+        assert np.array_equal(coder.encode(text), want)
+        if n > 2_000_000:
+            break
+    tree = recount.TokenTree("so " + blank + "on", coder)
+    tree.edit(5, 9, "x")
+    assert tree.count == len(coder.encode_ordinary("so   x" + blank[6:] + "on"))
+
+
 def test_packing_of_odd_rows(spark, odd):
     rows = packing.op8_pattern_packing(spark, odd).collect()
     library = Tokenizer.from_file(bpe.default_vocabulary()[0])

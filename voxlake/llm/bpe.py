@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
 import tiktoken
 
 
+#: White space of pre-tokenisation (Unicode's property) in runs that would exhaust the pattern's backtracking.
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{65536,}")
+
+
 def _byte_of() -> dict[str, int]:
     """The printable stand-ins that byte-level vocabularies use, by rule: printable Latin-1 bytes stand for
     themselves, the others follow from code point 256."""
@@ -36,11 +41,24 @@ class BytePairs:
 
     def encode(self, text: str) -> np.ndarray:
         """Unsigned 32-bit ids of a text."""
-        return self.coder.encode_to_numpy(text, allowed_special=self.special, disallowed_special=())
+        return self._encode(text, self.special)
 
     def encode_ordinary(self, text: str) -> np.ndarray:
         """Ids of a text in which special tokens' strings are ordinary text."""
-        return self.coder.encode_to_numpy(text, disallowed_special=())
+        return self._encode(text, set())
+
+    def _encode(self, text: str, special: set[str]) -> np.ndarray:
+        """Ids, with long runs of white space encoded beside the pattern: a run is one pre-token but for its last
+        character, which may start the next one, and whole where the text or a stretch of it ends."""
+        whole = lambda part: self.coder.encode_to_numpy(part, allowed_special=special, disallowed_special=())
+        if len(text) < 65536:
+            return whole(text)
+        parts, at = [], 0
+        for run in _LONG_RUN.finditer(text):
+            end = run.end() - (run.end() < len(text) and not text.startswith(tuple(special), run.end()))
+            parts += [whole(text[at : run.start()]), np.array(self.coder._encode_single_piece(text[run.start() : end].encode()), np.uint32)]
+            at = end
+        return np.concatenate([*parts, whole(text[at:])])
 
 
 @lru_cache(maxsize=2)
