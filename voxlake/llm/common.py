@@ -70,6 +70,23 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
+def fresh(name: str, *tables: DataFrame) -> str:
+    """A column name like `name` that none of the tables has, whatever its case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df by name, names with dots or quotes included."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def extended(df: DataFrame, more: str) -> T.StructType:
     """df's schema with the fields of a DDL string after it."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])

@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import extended, fold, read_table
+from .common import columns, fold, fresh, quoted, read_table
 
 DIMENSIONS, LETTERS = 1024, 3
 SEED = 20_240_131
@@ -23,6 +24,8 @@ BLOCK_CHARS, BLOCK_TEXTS = 1 << 20, 512
 #: Cells of the dense table that finds the n-grams of a block; blocks with more letters are sorted instead.
 DENSE_CELLS = 1 << 22
 UNKNOWN = "und"
+#: n-grams whose vectors stand in memory at a time, code points whose vectors a worker keeps, languages of a model.
+GRAM_SLICE, KEPT_LETTERS, MOST_LANGUAGES = 1 << 13, 1 << 15, 4096
 
 
 def letter_vectors(codes: np.ndarray, dimensions: int) -> np.ndarray:
@@ -40,6 +43,8 @@ class Space:
     def bound(self, grams: np.ndarray) -> np.ndarray:
         """n-gram vectors (float32) of rows of code points."""
         codes, where = np.unique(grams, return_inverse=True)
+        if len(self.rows) + len(codes) > KEPT_LETTERS:
+            self.rows.clear()
         for c in codes.tolist():
             if c not in self.rows:
                 self.rows[c] = letter_vectors(np.array([c]), self.dimensions)[0]
@@ -123,7 +128,8 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, letters: int = LETT
     """Languages (sorted) and their unit prototypes from labelled(text, lang); null texts and labels take no part.
 
     Each task bundles per language; one row per language and task is summed in two steps. The result has one
-    vector per distinct language. Texts without letters leave no trace; a language of such texts alone is unknown.
+    vector per distinct language, of which there may be MOST_LANGUAGES. Texts without letters leave no trace; a language
+    of such texts alone is unknown.
     """
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,11 +140,15 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, letters: int = LETT
                 grams, text, gram, count = grams_of(block, letters)
                 if not len(grams):
                     continue
-                vectors = space.bound(grams).astype(np.float64)
                 names, which = np.unique(np.array(langs[first : first + len(block)], object), return_inverse=True)
-                weights = np.zeros((len(names), len(grams)))
-                np.add.at(weights, (which[text], gram), count)
-                for name, total in zip(names, weights @ vectors, strict=True):
+                totals = np.zeros((len(names), dimensions))
+                for at in range(0, len(grams), GRAM_SLICE):
+                    own = (gram >= at) & (gram < at + GRAM_SLICE)
+                    vectors = space.bound(grams[at : at + GRAM_SLICE]).astype(np.float64)
+                    weights = np.zeros((len(names), len(vectors)))
+                    np.add.at(weights, (which[text[own]], gram[own] - at), count[own])
+                    totals += weights @ vectors
+                for name, total in zip(names, totals, strict=True):
                     sums[name] = sums.get(name, 0) + total
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "bundle"])
 
@@ -150,10 +160,12 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, letters: int = LETT
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "bundle"])
 
     rows = labelled.where("text is not null and lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     parts = rows.mapInArrow(bundle, "lang string, bundle binary")
-    merged = parts.repartition(16).mapInArrow(merge, "lang string, bundle binary")
+    merged = parts.repartition(16, "lang").mapInArrow(merge, "lang string, bundle binary")
     sums: dict[str, np.ndarray] = {}
-    for name, v in merged.collect():  # at most 16 rows per language
+    for name, v in merged.collect():  # a row per language
         sums[name] = sums.get(name, 0) + np.frombuffer(v)
     known = sorted(k for k, v in sums.items() if np.any(v))
     if not known:
@@ -169,7 +181,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
     that sorts first. Rows keep their number; the input may be empty.
     """
     known, prototypes = model
-    fields = extended(docs.select(*keep), f"{names[0]} string, {names[1]} double")
+    kept = docs.select(*map(F.col, map(quoted, keep)))
+    fields = T.StructType([*kept.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space(dimensions, letters)
@@ -181,22 +194,35 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
                 grams, text, gram, count = grams_of(block, letters)
                 if not len(grams) or not known:
                     continue
-                vectors = space.bound(grams)
-                for at in range(0, len(block), 128):  # texts whose counts stand in memory at a time
-                    own = slice(*np.searchsorted(text, (at, at + 128)))
-                    rows = np.zeros((min(128, len(block) - at), len(grams)), np.float32)
-                    rows[text[own] - at, gram[own]] = count[own]
-                    there = rows.any(axis=1)
-                    bundles = rows @ vectors
-                    cosine = bundles @ prototypes.T / np.maximum(np.linalg.norm(bundles, axis=1, keepdims=True), 1e-12)
-                    top = cosine.argmax(axis=1)
-                    where = first + at + np.flatnonzero(there)
-                    best[where] = top[there]
-                    score[where] = np.clip(cosine[np.arange(len(top)), top], 0, 1)[there]
+                bundles = np.zeros((len(block), dimensions), np.float64 if len(gram) > GRAM_SLICE * 512 else np.float32)
+                for low in range(0, len(grams), GRAM_SLICE):
+                    inside = np.flatnonzero((gram >= low) & (gram < low + GRAM_SLICE)) if len(grams) > GRAM_SLICE else slice(None)
+                    vectors = space.bound(grams[low : low + GRAM_SLICE])
+                    whose, which, times = text[inside], gram[inside] - low, count[inside]
+                    for at in range(0, len(block), 128):  # texts whose counts stand in memory at a time
+                        own = slice(*np.searchsorted(whose, (at, at + 128)))
+                        rows = np.zeros((min(128, len(block) - at), len(vectors)), np.float32)
+                        rows[whose[own] - at, which[own]] = times[own]
+                        bundles[at : at + 128] += rows @ vectors
+                there = np.bincount(text, minlength=len(block)) > 0
+                cosine = bundles @ prototypes.T / np.maximum(np.linalg.norm(bundles, axis=1, keepdims=True), 1e-12)
+                top = cosine.argmax(axis=1)
+                where = first + np.flatnonzero(there)
+                best[where] = top[there]
+                score[where] = np.clip(cosine[np.arange(len(top)), top], 0, 1)[there]
             found = [known[i] if i >= 0 else UNKNOWN for i in best]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(score)], fields.names)
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, fields)
+    text = F.col("text").cast("string").alias(fresh("text", kept))
+    return docs.select(*columns(kept), text).mapInArrow(run, fields)
+
+
+def in_a_language(docs: DataFrame, learn: Column) -> DataFrame:
+    """Rows of docs, all columns, whose text takes the profile of a language learnt from the rows where `learn` is true;
+    null texts and those without a letter go."""
+    names = fresh("lang_pred", docs), fresh("score", docs)
+    found = predict(docs, train(docs.where(learn)), docs.columns, names)
+    return found.where(F.col(names[0]) != UNKNOWN).select(*columns(docs))
 
 
 def op6_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

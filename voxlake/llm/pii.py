@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, store
+from .common import columns, fresh, read_table, store
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, with possessive repeats and starts bound to the start of a run (or the end of the match before),
@@ -28,8 +28,10 @@ CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"
 SPACE = r"[\x20\x09-\x0D]+"
 #: A pattern counts from so many different seeds of a kind; it is trusted from such a confidence, an instance from such a score.
 LEAST_SEEDS, LEAST_CONFIDENCE, LEAST_SCORE, ROUNDS = 3, 0.6, 0.6, 3
-#: Characters before a match in which its left words are sought.
-CONTEXT_CHARS = 96
+#: The last two words of a reversed gap, which lead it; possessive, so linear in their length.
+LEFT_WORDS = r"\A[\x20\x09-\x0D]*+[^\x20\x09-\x0D]*+(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)?"
+#: Parts that redaction splits the rows of a repeated text into.
+SALTS = 16
 
 
 def _matches(text: Column, pattern: str, kind: int, guard: Column) -> Column:
@@ -43,7 +45,7 @@ def _matches(text: Column, pattern: str, kind: int, guard: Column) -> Column:
             F.length(p["gap"]).alias("gap"),
             F.length(p["value"]).alias("size"),
             p["value"].alias("value"),
-            F.right(p["gap"], F.lit(CONTEXT_CHARS)).alias("left"),
+            F.reverse(F.regexp_extract(F.reverse(p["gap"]), LEFT_WORDS, 0)).alias("left"),
         ),
     )
     none = F.array().cast("array<struct<kind:int,at:int,gap:int,size:int,value:string,left:string>>")
@@ -70,14 +72,15 @@ def _left_words(left: Column) -> tuple[Column, Column]:
     return one, F.concat_ws(" ", F.coalesce(F.try_element_at(words, F.lit(-2)), F.lit("^")), one)
 
 
-def matches(docs: DataFrame) -> DataFrame:
+def matches(docs: DataFrame, key: Column | None = None) -> DataFrame:
     """One row per base match or identifier-like word of docs(row, doc_id, text), or one of kind null for a document
-    without any: row, doc_id, kind (4: identifier-like, outside all base spans), start, stop, value, one, two."""
+    without any: row, doc_id, key, kind (4: identifier-like, outside all base spans), start, stop, value, one, two."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     guards = (F.contains(text, F.lit("@")), text.rlike(r"[0-9]\.[0-9]"), text.rlike("[0-9]"), F.contains(text, F.lit("+")))
     found = [_matches(text, p, k, g) for k, (p, g) in enumerate(zip(PATTERNS, guards, strict=True))]
     found.append(_matches(text, CANDIDATE, 4, text.rlike("[0-9@]")))
-    rows = docs.select("row", "doc_id", F.explode_outer(F.concat(*found)).alias("m")).select("row", "doc_id", "m.*").repartition("row")
+    own = F.lit(None).cast("int") if key is None else key
+    rows = docs.select("row", "doc_id", own.alias("key"), F.explode_outer(F.concat(*found)).alias("m")).select("row", "doc_id", "key", "m.*").repartition("row")
     inside = Window.partitionBy("row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("stop", F.sum(F.col("gap") + F.col("size")).over(inside)).withColumn("start", F.col("stop") - F.col("size"))
     rows = rows.withColumn("ok", _valid()).where("kind is null or ok")
@@ -96,7 +99,7 @@ def matches(docs: DataFrame) -> DataFrame:
     identifier = free & (F.length("value") >= 5) & ((digits >= 3) | F.contains(F.col("value"), F.lit("@")))
     rows = rows.withColumn("kind", F.when(own & ~identifier, F.lit(None)).otherwise(F.col("kind")))
     one, two = _left_words(F.col("left"))
-    return rows.select("row", "doc_id", "kind", "start", "stop", "value", one.alias("one"), two.alias("two"))
+    return rows.select("row", "doc_id", "key", "kind", "start", "stop", "value", one.alias("one"), two.alias("two"))
 
 
 def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -141,20 +144,20 @@ def discover(found: DataFrame, docs: DataFrame, least_seeds: int = LEAST_SEEDS,
     return good.groupBy("pattern", "instance").agg(F.max_by("as_kind", F.struct("confidence", -F.col("as_kind"))).alias("new_kind"))
 
 
-def spans(docs: DataFrame, least_seeds: int = LEAST_SEEDS, rounds: int = ROUNDS) -> DataFrame:
-    """docs(row, doc_id, text), row unique, as row, doc_id, base and all: sorted arrays of (kind, start, stop).
+def spans(docs: DataFrame, least_seeds: int = LEAST_SEEDS, rounds: int = ROUNDS, key: Column | None = None) -> DataFrame:
+    """docs(row, doc_id, text), row unique, as row, doc_id, key (of `key`, an expression), base and all: sorted arrays of (kind, start, stop).
 
     Positions are code points, stops exclusive. Null and empty texts have no spans; every row comes back once.
     Matches that fail their check are dropped without another try. A pattern takes part from `least_seeds` different
     seeds of a kind. Only matches are shuffled, by row; graph sums are combined before their shuffles.
     """
-    found = store(matches(docs), "matches")
+    found = store(matches(docs, key), "matches")
     new = discover(found, docs, least_seeds, rounds)
-    kinds = found.select("row", "doc_id", "kind", "start", "stop")
+    kinds = found.select("row", "doc_id", "key", "kind", "start", "stop")
     if new.columns[0] == "pattern":
         new = store(new, "discovered")
-        unseen = found.where("kind = 4").select("row", "doc_id", "start", "stop", F.explode(F.array("one", "two")).alias("pattern"), F.lower("value").alias("instance"))
-        more = unseen.join(new, ["pattern", "instance"]).groupBy("row", "start").agg(F.first("doc_id").alias("doc_id"), F.max("stop").alias("stop"), F.min("new_kind").alias("kind"))
+        unseen = found.where("kind = 4").select("row", "doc_id", "key", "start", "stop", F.explode(F.array("one", "two")).alias("pattern"), F.lower("value").alias("instance"))
+        more = unseen.join(new, ["pattern", "instance"]).groupBy("row", "start").agg(F.first("doc_id").alias("doc_id"), F.first("key").alias("key"), F.max("stop").alias("stop"), F.min("new_kind").alias("kind"))
         kinds = kinds.withColumn("new", F.lit(False)).unionByName(more.withColumn("new", F.lit(True)))
     else:
         kinds = kinds.withColumn("new", F.lit(False))
@@ -162,6 +165,7 @@ def spans(docs: DataFrame, least_seeds: int = LEAST_SEEDS, rounds: int = ROUNDS)
     own = F.col("kind").isNotNull() & (F.col("kind") < 4)
     return kinds.groupBy("row").agg(
         F.first("doc_id", ignorenulls=True).alias("doc_id"),
+        F.first("key", ignorenulls=True).alias("key"),
         F.array_sort(F.collect_list(F.when(own & ~F.col("new"), span))).alias("base"),
         F.array_sort(F.collect_list(F.when(own, span))).alias("all"),
     )
@@ -170,12 +174,19 @@ def spans(docs: DataFrame, least_seeds: int = LEAST_SEEDS, rounds: int = ROUNDS)
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of personal data replaced by its kind in brackets; n_chars, where there is one, follows.
 
-    All rows and columns stay. docs must be a scan of files (rows are numbered in scan order, in two passes).
+    All rows and columns stay, repeated rows too; null and empty texts have nothing to replace. Equal texts have equal
+    spans, so spans find their rows by two hashes of the text and don't depend on the order of a scan; the rows of a
+    text that is repeated are dealt over SALTS parts.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = store(spans(numbered.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")).where(F.size("all") > 0).select(F.col("row").alias("_row"), F.col("all").alias("_spans")), "spans")
+    keys, all_spans, salt = (fresh(n, docs) for n in ("key", "spans", "salt"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = spans(texts, key=key).where(F.size("all") > 0).groupBy("key").agg(F.first("all").alias(all_spans))
+    found = store(found.withColumnRenamed("key", keys).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "spans")
+    numbered = docs.withColumn(keys, key).withColumn(salt, F.pmod(F.xxhash64(*columns(docs)), F.lit(SALTS)).cast("int"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    by_place = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    by_place = F.array_sort(F.transform(all_spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     begin = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("at"))
 
     def step(state: Column, s: Column) -> Column:
@@ -184,10 +195,10 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.concat(state["parts"], put).alias("parts"), F.greatest(state["at"], s["stop"]).alias("at"))
 
     text = F.aggregate(by_place, begin, step, lambda state: F.concat(F.array_join(state["parts"], ""), F.substr(F.col("text"), (state["at"] + 1).cast("int"))))
-    out = numbered.join(found, "_row", "left").withColumn("text", F.when(F.col("_spans").isNotNull(), text).otherwise(F.col("text")))
+    out = numbered.join(found, [keys, salt], "left").withColumn("text", F.when(F.col(all_spans).isNotNull(), text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(all_spans).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*columns(docs))
 
 
 def _listed(column: str) -> Column:
