@@ -302,47 +302,47 @@ def test_pipeline_of_odd_rows(spark, table, rows):
     assert ids == ({1, 7, 8, None, 11} if rows else set())
 
 
-def candidate(x, y, words=5):
-    """Whether two texts meet at an anchor within NEAR bits of the first fingerprint, and their exact resemblance."""
-    sets = [set(resemblance.shingle_hashes(t.encode(), words)[1].tolist()) for t in (x, y)]
-    hashes = [np.unique(resemblance.shingle_hashes(t.encode(), words)[1]) for t in (x, y)]
-    prints = [[simhash.majority(resemblance._mixed(h, w)) for w in range(resemblance.WORDS)] for h in hashes]
-    near = (prints[0][0] ^ prints[1][0]).bit_count() <= resemblance.NEAR
-    meet = any(set(simhash.anchors(np.array([a], np.uint64), 4)[1]) & set(simhash.anchors(np.array([b], np.uint64), 4)[1]) for a, b in zip(*prints))
-    return near and meet, len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+def alike(rows, words=5):
+    """Exact resemblance of all pairs, as a function of two positions."""
+    sets = [{tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} for w in (t.lower().split() for _, t in rows)]
+    return lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
 
 
-def test_copies_in_a_family_just_below_the_resemblance_are_linked(spark):
-    random.seed(8)
-    changed = lambda text, n: [f"c{random.random()}" if i in at else w for at in [set(random.sample(range(200), n))] for i, w in enumerate(text)]
-    template = [f"w{i}" for i in range(200)]
-    rows, planted = [], []
-    for n in range(400):
-        variant = changed(template, 3)
-        rows.append((n, " ".join(variant)))
-        if n % 4 == 0:
-            rows.append((1000 + n, " ".join(changed(variant, 4))))
-            near, exact = candidate(rows[-2][1], rows[-1][1])
-            if near and exact >= 0.8:
-                planted.append((n, 1000 + n))
-    assert len(planted) > 50
+@pytest.mark.parametrize("low, high, length, changes", [(0.8, 0.82, 300, 6), (0.8, 0.82, 900, 18), (0.83, 1, 300, 5)])
+def test_pairs_just_above_the_resemblance_are_linked_and_none_below(spark, low, high, length, changes):
+    random.seed(11)
+    rows = []
+    while len(rows) < 700:
+        base = [f"p{len(rows)}w{i}" for i in range(length)]
+        at = set(random.sample(range(length), changes if len(rows) % 8 else changes + 2))
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join("new" if i in at else w for i, w in enumerate(base)))]
+    value = alike(rows)
+    above = [i for i in range(0, 700, 2) if low <= value(i, i + 1) < high]
+    below = [i for i in range(0, 700, 2) if value(i, i + 1) < 0.8]
+    assert len(above) > 100
     of = {r.doc_id: r.component for r in resemblance.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [(a, b) for a, b in planted if of[a] != of[b]] == []
+    assert sum(of[i] == of[i + 1] for i in above) >= 0.97 * len(above)
+    assert not any(of[i] == of[i + 1] for i in below)
 
 
-def test_long_texts_are_measured_on_all_their_shingles(spark):
-    random.seed(9)
-    rows, want = [], {}
-    for n in range(120):
-        base = [f"p{n}w{i}" for i in range(900)]
-        at = set(random.sample(range(900), random.randint(17, 24)))
-        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join("new" if i in at else w for i, w in enumerate(base)))]
-        near, exact = candidate(rows[-2][1], rows[-1][1])
-        if near:
-            want[n] = exact >= 0.8
-    assert 20 < sum(want.values()) < len(want) - 20
-    of = {r.doc_id: r.component for r in resemblance.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {n: of[2 * n] == of[2 * n + 1] for n in want} == want
+@pytest.mark.parametrize("group_bytes", [resemblance.GROUP_BYTES, 20_000])
+def test_classes_of_families_are_those_of_all_pairs(spark, group_bytes):
+    """A family just below the resemblance with copies in it, and one of true copies, in one cell and in many chunks."""
+    random.seed(8)
+    changed = lambda text, n: [f"c{random.random()}" if i in at else w for at in [set(random.sample(range(200), n))] for i, w in enumerate(text)]
+    template, other = [f"w{i}" for i in range(200)], [f"v{i}" for i in range(200)]
+    rows = []
+    for n in range(200):
+        rows.append((n, " ".join(variant := changed(template, 3))))
+        rows.append((2000 + n, " ".join(changed(other, 1))))
+        if n % 4 == 0:
+            rows.append((1000 + n, " ".join(changed(variant, 2 if n % 8 else 1))))
+    value = alike(rows)
+    want = linked(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if value(i, j) >= 0.8])
+    found = resemblance.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=group_bytes).collect()
+    of = {r.doc_id: r.component for r in found}
+    want, got = [want[i] for i in range(len(rows))], [of[i] for i, _ in rows]
+    assert len(set(want)) == len(set(got)) == len(set(zip(want, got, strict=True))) > 20
 
 
 def test_a_context_counts_from_the_same_seeds_in_a_large_corpus(spark, table):

@@ -51,6 +51,22 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot from so many rows, and from such a part of all rows, so hot keys are PARTS at most.
+HOT_ROWS, PARTS = 1000, 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has a row per key at most; counts(key, n) are left's rows per key, of `total`.
+
+    Rows of hot keys meet a broadcast of at most PARTS rows of right and aren't shuffled; all others meet by a shuffle.
+    """
+    hot = store(right.join(counts.where(F.col("n") >= max(HOT_ROWS, total // PARTS)).select(key), key, "left_semi"), "hot")
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right, key, how)
+    return left.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table that nothing reads any more."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -15,14 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import columns, drop_path, fresh, new_path, read_table, store
 
 #: Edits allowed per character of an item. At this rate pieces have some 12 characters, which ordinary prose seldom hits.
 RATE = 0.08
-#: Normalised items shorter than this are not searched: they can't be told from chance.
-LEAST_CHARS = 24
+#: Shorter normalised items must occur unchanged, between characters that are no letters or digits.
+SHORT_CHARS = 24
 #: Characters of normalised items in one automaton; more items take more passes over the documents.
 BLOCK_CHARS = 1 << 20
+FOUND = "doc_id long, item_id long, distance int, start long, stop long"
 
 
 def normalize(text: str) -> str:
@@ -81,7 +82,7 @@ class Items:
         self.automaton = ahocorasick.Automaton()
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
-            m, k = len(text), int(rate * len(text))
+            m, k = len(text), int(rate * len(text)) if len(text) >= SHORT_CHARS else 0
             number = len(self.ids)
             self.ids.append(item_id)
             self.texts.append(text)
@@ -104,6 +105,11 @@ class Items:
                 windows[number].add(last + 1 - size - offset)
         for number, starts in windows.items():
             pattern, k = self.texts[number], self.edits[number]
+            if len(pattern) < SHORT_CHARS:
+                alone = [s for s in sorted(starts) if not text[max(0, s - 1) : s].isalnum() and not text[s + len(pattern) : s + len(pattern) + 1].isalnum()]
+                if alone:
+                    yield number, 0, alone[0], alone[0] + len(pattern)
+                continue
             m, found = len(pattern), None
             ordered = sorted(starts)
             spans: list[list[int]] = []
@@ -124,65 +130,80 @@ class Items:
                 yield number, *found
 
 
-def item_blocks(benchmark: DataFrame, rate: float, least_chars: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """Blocks of (item_id, normalised text); null, short and repeated rows are left out."""
-    held, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").distinct()
-    for item_id, text in rows.toLocalIterator():
-        clean = normalize(text)
-        if len(clean) < least_chars:
-            continue
-        held.append((item_id, clean))
-        size += len(clean)
-        if size >= block_chars:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+    """Blocks of (item_id, normalised text) of some `block_chars` characters each, dealt by a hash in the shared folder
+    and read one at a time; null, blank and repeated rows are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [normalize(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["item_id", "text"]).filter(pa.array([bool(t) for t in texts], pa.bool_()))
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    items = store(rows.mapInArrow(run, "item_id long, text string").distinct(), "items")
+    blocks = -(-int(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars)
+    for block in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
+        if own:
+            yield sorted(((i, t) for i, t in own), key=lambda x: (x[0] is None, x))
+
+
+def _found(docs: DataFrame, block: list[tuple[int, str]], rate: float) -> DataFrame:
+    """Occurrences of one block of items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(block, rate)
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not text:
+                    continue
+                at: list[int] = []
+                for number, distance, a, b in items.find(normalize(text)):
+                    at = at or origins(text)
+                    rows.append((doc_id, items.ids[number], distance, at[a], at[b - 1] + 1 if b > a else at[a]))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "distance", "start", "stop"])
 
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FOUND)
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least_chars: int = LEAST_CHARS) -> DataFrame:
+
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, distance, start, stop: the best occurrence of each test item in each document that has one.
 
     Both sides are lower-cased with white space made one blank; distance counts edits there, up to floor(rate * length)
-    of the item. start and stop are code points of the whole original text. Null and empty texts hold nothing. Repeated
-    documents each have their rows; items equal in id and text count once. Items below `least_chars` are not searched.
+    of the item. Items below SHORT_CHARS must occur unchanged as whole words. start and stop are code points of the
+    whole original text. Null and empty texts and items hold nothing. Repeated documents each have their rows; items
+    equal in id and text count once. An empty table gives no rows. Each block of items is one pass over the documents,
+    whose finds are added to a table, so the driver and a task hold one block however large the benchmark is.
     """
-    out = None
-    for block in item_blocks(benchmark, rate, least_chars):
-
-        def run(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
-            items = Items(block, rate)
-            for batch in batches:
-                rows: list[tuple] = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if not text:
-                        continue
-                    at: list[int] = []
-                    for number, distance, a, b in items.find(normalize(text)):
-                        at = at or origins(text)
-                        rows.append((doc_id, items.ids[number], distance, at[a], at[b - 1] + 1 if b > a else at[a]))
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "distance", "start", "stop"])
-
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        found = texts.mapInArrow(run, "doc_id long, item_id long, distance int, start long, stop long")
-        out = found if out is None else out.unionAll(found)
-    return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int, start long, stop long") if out is None else out
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """Rows of docs, all columns, whose text holds no test item. Null texts stay. Nothing is shuffled."""
-    for block in item_blocks(benchmark, rate, least_chars):
+    spark, path = docs.sparkSession, None
+    for block in item_blocks(benchmark, block_chars):
+        path = path or new_path(spark, "leaks")
+        _found(docs, block, rate).write.mode("append").parquet(path)
+    return spark.read.schema(FOUND).parquet(path) if path else spark.createDataFrame([], FOUND)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Rows of docs, all columns, whose text holds no test item, as `leaks` finds them. Null texts and repeated rows
+    stay. Nothing is shuffled; from the second block of items on, what is left is written between passes."""
+    spark, path, columns_of, schema = docs.sparkSession, None, columns(docs), docs.schema
+    for number, block in enumerate(item_blocks(benchmark, block_chars)):
+        if number:
+            old, path = path, new_path(spark, "without-leaks")
+            docs.write.parquet(path)
+            docs = spark.read.schema(schema).parquet(path)
+            if old:
+                drop_path(spark, old)
 
         def run(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
             items = Items(block, rate)
             for batch in batches:
                 clean = [next(items.find(normalize(t or "")), None) is None for t in batch.column(batch.num_columns - 1).to_pylist()]
-                yield batch.select(batch.schema.names[:-1]).filter(pa.array(clean, pa.bool_()))
+                yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.select("*", F.col("text").cast("string").alias("_text")).mapInArrow(run, docs.schema)
+        docs = docs.select(*columns_of, F.col("text").cast("string").alias(fresh("text", docs))).mapInArrow(run, schema)
     return docs
 
 

@@ -1,15 +1,18 @@
 """SimHash near-duplicates by anchor-point covering.
 
-The 64 bits of a fingerprint are cut into threshold // 2 + 1 blocks, so two fingerprints within the threshold
-differ in at most one bit of some block. The anchors of a block are the words of a covering code: a perfect
-Hamming code of 15 bits (covering radius 1) beside the block's remaining bits. A fingerprint belongs to its nearest
-anchor and is replicated to each anchor within covering radius plus one, where every partner of that block must
-meet it; fingerprints are compared per anchor over all 64 bits.
+The 64 bits of a fingerprint are cut into blocks such that two fingerprints within the threshold differ in at most one
+bit of some block: threshold // 2 + 1 blocks or, beyond MANY fingerprints, all pairs of threshold + 1 pieces, whose
+blocks are longer and have more anchors. The anchors of a block are the words of a covering code: a perfect Hamming code
+of 15 bits (covering radius 1) beside the block's remaining bits. A fingerprint belongs to its nearest anchor and is
+replicated to each anchor within covering radius plus one, where every partner of that block must meet it; fingerprints
+are compared per anchor over all 64 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, store
+from .common import hot_join, read_table, store
 from .components import connected_components
 
 #: Rows of an anchor that are compared in one task; larger anchors are cut into chunks, one task per pair of chunks.
@@ -28,6 +31,8 @@ BUFFER_ROWS = 1 << 17
 #: Links held at a time before they are passed on.
 PAIR_ROWS = 1 << 20
 HAMMING_BITS = 15
+#: Distinct fingerprints from which blocks are made of two pieces: 10 x 2^21 anchors for a threshold of 4, not 3 x 2^17.
+MANY = 1 << 22
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -66,15 +71,18 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def blocks(threshold: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of blocks, one of which holds at most one of `threshold` differing bits."""
-    n = threshold // 2 + 1
-    if 64 // n < HAMMING_BITS:
+def blocks(threshold: int, rows: int = 0) -> list[list[tuple[int, int]]]:
+    """Blocks as pieces (first bit, bits), one of which holds at most one of `threshold` differing bits."""
+    n, take = threshold // 2 + 1, 1
+    if rows > MANY and 128 // (threshold + 1) > 64 // n:
+        n, take = threshold + 1, 2
+    if 64 * take // n < HAMMING_BITS:
         raise ValueError("at most 7 differing bits are supported")
     cuts = [64 * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [list(c) for c in combinations([(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)], take)]
 
 
+@lru_cache(maxsize=1)
 def _syndromes() -> np.ndarray:
     word = np.arange(1 << HAMMING_BITS)
     s = np.zeros(1 << HAMMING_BITS, np.int64)
@@ -83,16 +91,24 @@ def _syndromes() -> np.ndarray:
     return s
 
 
-def anchors(fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+def home_words(word: np.ndarray) -> np.ndarray:
+    """The nearest code word of each word of HAMMING_BITS bits."""
+    s = _syndromes()[word]
+    return np.where(s > 0, word ^ (1 << np.maximum(s - 1, 0)), word)
+
+
+def anchors(fp: np.ndarray, threshold: int, rows_in_all: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(row, anchor) pairs: each fingerprint at all anchors within covering radius plus its block's share of bits."""
     syndrome = _syndromes()
     rows, keys = [], []
     at = np.arange(len(fp))
-    for number, (first, bits) in enumerate(blocks(threshold)):
-        block = (fp >> np.uint64(first)).astype(np.int64) & ((1 << bits) - 1)
+    for number, pieces in enumerate(blocks(threshold, rows_in_all)):
+        block, bits = np.zeros(len(fp), np.int64), 0
+        for first, size in pieces:
+            block |= ((fp >> np.uint64(first)).astype(np.int64) & ((1 << size) - 1)) << bits
+            bits += size
         word, rest = block & ((1 << HAMMING_BITS) - 1), block >> HAMMING_BITS
-        s = syndrome[word]
-        home = np.where(s > 0, word ^ (1 << np.maximum(s - 1, 0)), word)
+        s, home = syndrome[word], home_words(word)
         key = lambda code, other, n=number: (n << 58) | (other << HAMMING_BITS) | code
         rows.append(at)
         keys.append(key(home, rest))
@@ -107,21 +123,16 @@ def anchors(fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def replicate(distinct: DataFrame, threshold: int, words: int = 1) -> DataFrame:
-    """(anchor, fp, ...) for every anchor of each row; distinct holds other columns, then `words` fingerprints, each
-    with anchors of its own. fp is the first fingerprint."""
-    others = distinct.columns[:-words]
-    schema = ", ".join(["anchor long", "fp long", *(f"{c} long" for c in others)])
+def replicate(distinct: DataFrame, threshold: int, rows: int = 0) -> DataFrame:
+    """(anchor, fp) for every anchor of each of some `rows` fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            fp = cols[len(others)]
-            for word, own in enumerate(cols[len(others) :]):
-                row, key = anchors(own.view(np.uint64), threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(key | (word << 50)), pa.array(fp[row]), *(pa.array(c[row]) for c in cols[: len(others)])], ["anchor", "fp", *others])
+            fp = batch.column(0).to_numpy(zero_copy_only=False)
+            row, key = anchors(fp.view(np.uint64), threshold, rows)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row])], ["anchor", "fp"])
 
-    return distinct.mapInArrow(run, schema)
+    return distinct.mapInArrow(run, "anchor long, fp long")
 
 
 def rooted(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -247,7 +258,7 @@ def similar(distinct: DataFrame, threshold: int, cell_rows: int = CELL_ROWS) ->
         for g in np.flatnonzero(size > SMALL_GROUP):
             yield _large_links(fp[first[g] : first[g] + size[g]], threshold)
 
-    return by_cell(cells(replicate(distinct.select("fp"), threshold), [], cell_rows), ["fp"], links)
+    return by_cell(cells(replicate(distinct.select("fp"), threshold, distinct.count()), [], cell_rows), ["fp"], links)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 4) -> DataFrame:
@@ -259,13 +270,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 4) -> Data
     stay. An empty table gives no rows. Only distinct fingerprints are compared.
     """
     prints = store(fingerprints(docs, words), "fingerprints")
-    distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct-fingerprints")
     links = similar(distinct, threshold)
     rooted = connected_components(links)
     named = distinct.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = store(named.join(least, "root").select("fp", "component_id"), "classes")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return hot_join(prints, classes, "fp", distinct, prints.count()).select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:
