@@ -4,11 +4,13 @@ import base64
 import hashlib
 import math
 import random
+import struct
 import zlib
 from fractions import Fraction
 
 import numpy as np
 import pytest
+import zstandard
 from .conftest import ODD
 
 from pyspark.sql import functions as F
@@ -115,6 +117,30 @@ def test_no_pages(spark, table):
     assert warc.op7_warc_round_trip(spark, table("pages", [], "page_id long, url string, html string")).count() == 0
 
 
+def test_foreign_records_and_cut_frames(spark, tmp_path):
+    pack = zstandard.ZstdCompressor().compress
+    date = ("WARC-Date", "2020-01-01T00:00:00Z")
+    kinds = [("request", "application/http;msgtype=request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"), ("metadata", "application/warc-fields", b"a: b\r\n"), ("resource", "text/plain", b"whole"), ("conversion", "text/plain", b"text")]
+    records = [warc.record(k, [("WARC-Record-ID", f"<{k}>"), date, ("Content-Type", c)], b) for k, c, b in kinds]
+    records.append(warc.record("response", [("WARC-Record-ID", "<r>"), date, ("Content-Type", "application/http;msgtype=response"), ("X-Page-Id", "none")], b"HTTP/1.1 200 OK\r\n\r\nbody"))
+    whole = warc.dictionary_frame(b"some dictionary") + b"".join(pack(r) for r in records)
+    (tmp_path / "a.warc.zst").write_bytes(b"".join(pack(r) for r in records))
+    rows = {r.kind: r for r in warc.read_archives(spark, f"file://{tmp_path}").collect()}
+    assert bytes(rows["resource"].payload) == b"whole" and bytes(rows["response"].payload) == b"body" and rows["response"].page_id is None
+    assert rows["response"].digest == base64.b32encode(hashlib.sha1(b"body").digest()).decode() and set(rows) == {"request", "metadata", "resource", "conversion", "response"}
+    for bad in (whole[:6], whole[:20], b"".join(pack(r) for r in records) + struct.pack("<II", 0x184D2A50, 99) + b"x", pack(records[0]) + struct.pack("<I", 0x184D2A50)):
+        with pytest.raises(warc.WarcError):
+            list(warc.frames(bad))
+
+
+def test_archives_of_lost_attempts_do_not_count(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "u", bytes([65 + i]), None, False) for i in range(5)], "page_id long, url string, payload binary, refers_to long, revisit boolean")
+    path = f"file://{tmp_path}"
+    warc.write_archives(rows.repartition(2), path, b"d").collect()  # as an attempt whose rows were lost
+    manifest = spark.createDataFrame(warc.write_archives(rows.repartition(2), path, b"d").collect(), "archive string, records long")
+    assert warc.read_archives(spark, path, manifest).count() == 5 and warc.read_archives(spark, path).count() == 10
+
+
 def test_reader_rejects_breaches():
     good = warc.page_record(1, "http://a", b"payload", None, False)
     assert warc.parse_record(good)[0]["x-page-id"] == "1"

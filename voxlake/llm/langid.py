@@ -20,7 +20,7 @@ from .common import columns, fold, fresh, quoted, read_table
 DIMENSIONS, LETTERS = 1024, 3
 SEED = 20_240_131
 #: A block of texts is cut at so many code points, or so many texts; longer texts are blocks of their own.
-BLOCK_CHARS, BLOCK_TEXTS = 1 << 20, 512
+BLOCK_CHARS, BLOCK_TEXTS = 1 << 19, 256
 #: Cells of the dense table that finds the n-grams of a block; blocks with more letters are sorted instead.
 DENSE_CELLS = 1 << 22
 UNKNOWN = "und"
@@ -100,7 +100,7 @@ def grams_of(texts: list[str], letters: int) -> tuple[np.ndarray, np.ndarray, np
     else:
         kinds, gram = np.unique(packed, return_inverse=True)
     cells = first * len(kinds) + gram
-    if len(kinds) * len(texts) <= 4 * DENSE_CELLS:
+    if len(kinds) * len(texts) <= 2 * DENSE_CELLS:
         count = np.bincount(cells)
         cell = np.flatnonzero(count)
         count = count[cell]

@@ -195,7 +195,7 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.concat(state["parts"], put).alias("parts"), F.greatest(state["at"], s["stop"]).alias("at"))
 
     text = F.aggregate(by_place, begin, step, lambda state: F.concat(F.array_join(state["parts"], ""), F.substr(F.col("text"), (state["at"] + 1).cast("int"))))
-    out = numbered.join(found, [keys, salt], "left").withColumn("text", F.when(F.col(all_spans).isNotNull(), text).otherwise(F.col("text")))
+    out = numbered.join(found.hint("merge"), [keys, salt], "left").withColumn("text", F.when(F.col(all_spans).isNotNull(), text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(all_spans).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*columns(docs))

@@ -33,7 +33,7 @@ CROWD_BITS = 6
 #: Deviations above the mean of differing bits that a candidate may show.
 DEVIATIONS = 3.5
 #: Bytes of shingle hashes compared in one task.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 SEED = 20_240_613
 
 
@@ -228,7 +228,7 @@ def verified(cells: DataFrame, prints: DataFrame, similarity: float) -> DataFram
         if len(held) > 1:
             yield found()
 
-    rows = cells.select("component", "cell", "uid", "node", "root").join(prints.select("uid", "f0", "f1", "shingles", "hashes"), "uid").select("component", "cell", "node", "root", "f0", "f1", "shingles", "hashes")
+    rows = cells.select("component", "cell", "uid", "node", "root").hint("merge").join(prints.select("uid", "f0", "f1", "shingles", "hashes"), "uid").select("component", "cell", "node", "root", "f0", "f1", "shingles", "hashes")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "component", "cell").sortWithinPartitions("component", "cell").mapInArrow(run, "a long, b long")
 
@@ -298,7 +298,7 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     chosen = store(best.select(F.col("m.i").alias(own), F.col("m.k").alias(chosen_node), F.col("count").alias("n")), "representatives")
     same = (F.col(node) == F.col(chosen_node)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own))
     marked = with_node(docs, node)
-    kept = marked.join(chosen.where("n = 1").select(own, chosen_node), same, "left_semi").select(*columns(docs))
+    kept = marked.join(chosen.where("n = 1").select(own, chosen_node).hint("merge"), same, "left_semi").select(*columns(docs))
     repeated = chosen.where("n > 1").select(own, chosen_node)
     if repeated.isEmpty():
         return kept

@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import make_dir, new_path, read_table
+from .common import hot_join, make_dir, new_path, read_table, store
 
 #: Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -111,8 +111,8 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
         status, http, payload = _split(block, "HTTP")
         if not status.startswith(b"HTTP/"):
             raise WarcError(f"HTTP: bad status line {status[:40]!r}")
-        size = _length(http, "HTTP")
-        if len(payload) != (size if headers["warc-type"] == "response" else 0):
+        size = _length(http, "HTTP") if "content-length" in http else len(payload)
+        if "warc-truncated" not in headers and len(payload) != (size if headers["warc-type"] == "response" else 0):
             raise WarcError(f"HTTP: Content-Length {size}, but {len(payload)} bytes of payload")
         digest = headers.get("warc-payload-digest", "")
         if headers["warc-type"] == "response" and digest and digest != f"sha1:{base32_sha1(payload)}":
@@ -125,7 +125,7 @@ def frames(data: bytes | memoryview) -> Iterator[bytes]:
     view = memoryview(data)
     at, decoder = 0, zstandard.ZstdDecompressor()
     if len(view) >= 8 and struct.unpack_from("<I", view)[0] == DICTIONARY_MAGIC:
-        size = struct.unpack_from("<I", view, 4)[0]
+        size = struct.unpack_from("<I", view, 4)[0]  # a file cut off here is found out below
         raw = bytes(view[8 : 8 + size])
         if len(raw) != size:
             raise WarcError("the dictionary frame is cut off")
@@ -138,7 +138,11 @@ def frames(data: bytes | memoryview) -> Iterator[bytes]:
             raise WarcError("trailing bytes")
         magic = struct.unpack_from("<I", view, at)[0]
         if magic & 0xFFFFFFF0 == 0x184D2A50:  # other skippable frames
+            if len(view) - at < 8:
+                raise WarcError("a skippable frame is cut off")
             at += 8 + struct.unpack_from("<I", view, at + 4)[0]
+            if at > len(view):
+                raise WarcError("a skippable frame is cut off")
             continue
         one = decoder.decompressobj()
         parts = []
@@ -173,14 +177,14 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
 def write_archives(records: DataFrame, path: str, dictionary: bytes) -> DataFrame:
     """Write records(page_id, url, payload, refers_to, revisit) as archives below path; one row per archive.
 
-    An archive gets its final name by a rename when it is complete, and a name depends on the partition, so a task
-    that runs again replaces its own files.
+    An archive gets its final name by a rename when it is complete; names are unique to a task's attempt. Only the rows
+    of attempts that Spark commits, written as a table, say which archives count: others may be left by lost executors.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        context = TaskContext.get()
+        context, attempt = TaskContext.get(), uuid.uuid4().hex
         store, root = _store(path)
         coder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
         lead, number, done = dictionary_frame(dictionary), 0, []
@@ -188,15 +192,15 @@ def write_archives(records: DataFrame, path: str, dictionary: bytes) -> DataFram
 
         def close() -> None:
             nonlocal number
-            name = f"{root}/part-{context.partitionId():06d}-{number:05d}.warc.zst"
-            part = f"{root}/.{context.partitionId():06d}-{number:05d}-{context.taskAttemptId()}.part"
+            name = f"{root}/part-{context.partitionId():06d}-{number:05d}-{attempt}.warc.zst"
+            part = f"{root}/.{context.partitionId():06d}-{number:05d}-{attempt}.part"
             store.create_dir(root, recursive=True)
             with store.open_output_stream(part) as out:
                 out.write(lead)
                 for frame in held:
                     out.write(frame)
             store.move(part, name)
-            done.append((name, len(held)))
+            done.append((name.rsplit("/", 1)[1], len(held)))
             held.clear()
             number += 1
 
@@ -218,38 +222,78 @@ def write_archives(records: DataFrame, path: str, dictionary: bytes) -> DataFram
     return records.select("page_id", "url", "payload", "refers_to", "revisit").mapInArrow(run, "archive string, records long")
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all *.warc.zst below path: archive, position, kind, page_id, url, headers, payload_bytes, digest,
-    refers_to, payload. Any breach of the format stops the read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("path", "content")
+#: Kinds of records that hold an HTTP message, when their content type says so.
+HTTP_KINDS = ("response", "revisit", "request")
+FIELDS = "archive string, position long, kind string, page_id long, url string, payload_bytes long, digest string, refers_to long, payload binary"
+
+
+def _row(name: str, position: int, data: bytes) -> tuple | None:
+    """A record's row; None for the archive's own description."""
+    head, payload = parse_record(data)
+    kind = head["warc-type"]
+    if kind == "warcinfo":
+        return None
+    size = None
+    if kind in HTTP_KINDS and head.get("content-type", "").startswith("application/http"):
+        _, http, payload = _split(payload, "HTTP")
+        size = _length(http, "HTTP") if "content-length" in http else None
+    digest = head.get("warc-payload-digest", "").removeprefix("sha1:") or (None if kind == "revisit" else base32_sha1(payload))
+    number = lambda k: int(head[k]) if head.get(k, "").isascii() and head.get(k, "").isdigit() else None
+    return name, position, kind, number("x-page-id"), head.get("warc-target-uri"), len(payload) if size is None else size, digest, number("x-refers-to-page-id"), payload
+
+
+def _rows(archives: Iterator[tuple[str, bytes | memoryview]]) -> Iterator[pa.RecordBatch]:
+    """Records of archives as batches of some megabytes."""
+    names = [f.split()[0] for f in FIELDS.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    rows: list[tuple] = []
+    size = 0
+
+    def batch_of() -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    for name, content in archives:
+        for position, data in enumerate(frames(content)):
+            if (row := _row(name, position, data)) is None:
+                continue
+            rows.append(row)
+            size += len(row[-1])
+            if len(rows) >= 1000 or size >= 8 << 20:
+                yield batch_of()
+                rows.clear()
+                size = 0
+    yield batch_of()
+
+
+def read_archives(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
+    """Records of all *.warc.zst below path, or of the archives that a manifest of `write_archives` names: archive,
+    position, kind, page_id, url, payload_bytes, digest, refers_to, payload.
+
+    Records of any kind are read; those without HTTP have their block as payload. A digest that a record leaves out is
+    taken from its payload, but for revisits, whose payload lies elsewhere. Any breach of the format stops the read.
+    """
+    if manifest is None:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("path", "content")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["archive", "position", "kind", "page_id", "url", "payload_bytes", "digest", "refers_to", "payload"]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-        rows: list[tuple] = []
-        size = 0
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _rows((n.as_py(), c.as_buffer()) for b in batches for n, c in zip(b.column(0), b.column(1), strict=True))
 
-        def batch_of() -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+        return files.mapInArrow(run, FIELDS)
 
-        for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                for position, data in enumerate(frames(content.as_buffer())):
-                    head, block = parse_record(data)
-                    if head["warc-type"] == "warcinfo":
-                        continue
-                    _, http, payload = _split(block, "HTTP")
-                    number = lambda k, h=head: int(h[k]) if k in h else None
-                    rows.append((name.as_py(), position, head["warc-type"], number("x-page-id"), head.get("warc-target-uri"), _length(http, "HTTP"), head["warc-payload-digest"].removeprefix("sha1:"), number("x-refers-to-page-id"), payload))
-                    size += len(payload)
-                    if len(rows) >= 1000 or size >= 8 << 20:
-                        yield batch_of()
-                        rows.clear()
-                        size = 0
-        yield batch_of()
-
-    return files.mapInArrow(run, "archive string, position long, kind string, page_id long, url string, payload_bytes long, digest string, refers_to long, payload binary")
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(path)
+
+        def archives() -> Iterator[tuple[str, bytes]]:
+            for batch in batches:
+                for name in batch.column(0).to_pylist():
+                    with store.open_input_stream(f"{root}/{name}", compression=None) as file:
+                        yield f"{path}/{name}", file.read()
+
+        yield from _rows(archives())
+
+    parts = min(max(manifest.count(), 1), 1 << 16)
+    return manifest.select("archive").repartition(parts, "archive").mapInArrow(named, FIELDS)
 
 
 def captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -258,14 +302,16 @@ def captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     A null html is an empty payload. Rows that repeat the smallest page_id of a payload are all responses; a null
     page_id comes after all others, and payloads that only null ids hold are all responses. Equality is by SHA-1
-    and length. The minimum per payload is combined before its shuffle; rows join it by an equi-join that adaptive
-    execution may split.
+    and length. The minimum per payload is combined before its shuffle; rows of the most frequent payloads meet it by a
+    broadcast.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumns({"_sha1": F.unhex(F.sha1("payload")), "_n": F.octet_length("payload")})
-    first = rows.where(F.col("_n") >= least_bytes).groupBy("_sha1", "_n").agg(F.min("page_id").alias("_first"), F.count("*").alias("_copies")).where(F.col("_copies") > 1).drop("_copies")
-    revisit: Column = F.coalesce(~F.col("page_id").eqNullSafe(F.col("_first")), F.lit(False)) & F.col("_first").isNotNull()
-    joined = rows.join(first, ["_sha1", "_n"], "left").withColumn("revisit", revisit)
+    rows = rows.withColumn("key", F.struct(F.unhex(F.sha1("payload")).alias("sha1"), F.octet_length("payload").alias("n")))
+    first = rows.where(F.octet_length("payload") >= least_bytes).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = store(first, "payloads")
+    joined = hot_join(rows, first.select("key", "first"), "key", first, pages.count(), "left")
+    revisit: Column = F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False)) & F.col("first").isNotNull()
+    joined = joined.withColumn("revisit", revisit).withColumnRenamed("first", "_first")
     return joined.select("page_id", "url", "payload", F.when(F.col("revisit"), F.col("_first")).alias("refers_to"), "revisit")
 
 
@@ -279,7 +325,7 @@ def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     dictionary = train_dictionary([bytes(r[0]) for r in sample.collect()])
     path = new_path(spark, "warc")
     make_dir(spark, path)
-    write_archives(captures(pages), path, dictionary).agg(F.sum("records")).collect()
-    return read_archives(spark, path).select(
+    manifest = store(write_archives(captures(pages), path, dictionary), "manifest")
+    return read_archives(spark, path, manifest).select(
         "page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to"
     )
