@@ -6,11 +6,13 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from voxlake.llm import components, decontam, katz, langid, pii, resemblance, simhash
+from voxlake.llm import common, components, decontam, katz, langid, pii, resemblance, simhash
 
 from .conftest import ODD, ODD_SCHEMA
 
@@ -99,47 +101,75 @@ def test_representatives_of_odd_rows(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, i) for i in (1, 3, 7, 8, 9, 11)] + [(True, 0)]
 
 
-def brute_katz(docs, training):
-    u, b, context, follow = Counter(), Counter(), Counter(), defaultdict(dict)
-    for words, t in zip(docs, training):
+def brute_katz(docs, training, order=katz.ORDER):
+    """The model from its definition: counts of whole n-grams, weights from their followers, recursion by word."""
+    counts = [Counter() for _ in range(order + 1)]
+    follow = defaultdict(set)
+    for words, t in zip(docs, training, strict=True):
         if t:
-            before = ["<s>", *words[:-1]]
-            u.update(words)
-            b.update(zip(before, words))
-            context.update(before)
-    total, types = sum(u.values()), len(u)
-    d1, d2 = (katz.discounts(Counter(c.values())) for c in (u, b))
-    cut = lambda r, d: d[r - 1] if r <= katz.LARGE else r - katz.TRIM
-    unknown = 1 - sum(cut(r, d1) for r in u.values()) / total if total else 1.0
-    p1 = lambda w: cut(u[w], d1) / total if u[w] else unknown
-    for (v, w), r in b.items():
-        follow[v][w] = r
-    alpha = {v: (1 - sum(cut(r, d2) for r in f.values()) / context[v]) / (1 - sum(map(p1, f))) for v, f in follow.items()}
-    for v, f in follow.items():  # exactly normalised: seen, unseen and unknown words sum to one
-        rest = 1 - sum(map(p1, f))
-        assert sum(cut(r, d2) for r in f.values()) / context[v] + alpha[v] * rest == pytest.approx(1)
+            line = ["<s>", *words]
+            counts[1].update(words)
+            counts[1]["<s>"] += 1
+            for n in range(2, order + 1):
+                for i in range(n, len(line) + 1):
+                    gram = tuple(line[i - n : i])
+                    counts[n][gram] += 1
+                    follow[gram[:-1]].add(gram[-1])
+    starts = counts[1].pop("<s>", 0)
+    total, types = sum(counts[1].values()), len(counts[1])
+    tables = [None, *(katz.discounts(Counter(c.values())) for c in counts[1:])]
+    cut = lambda r, n: tables[n][r - 1] if r <= katz.LARGE else r - katz.TRIM
+    unknown = 1 - sum(cut(r, 1) for r in counts[1].values()) / total if total else 1.0
+    size = lambda h: starts if h == ("<s>",) else counts[1][h[0]] if len(h) == 1 else counts[len(h)][h]
+
+    def p(w, h):
+        if not h:
+            return cut(counts[1][w], 1) / total if counts[1][w] else unknown
+        if counts[len(h) + 1][(*h, w)]:
+            return cut(counts[len(h) + 1][(*h, w)], len(h) + 1) / size(h)
+        return (alpha(h) if size(h) else 1.0) * p(w, h[1:])
+
+    @lru_cache(maxsize=None)
+    def alpha(h):
+        return (1 - sum(p(w, h) for w in follow[h])) / (1 - sum(p(w, h[1:]) for w in follow[h]))
+
+    for h in list(follow)[:300] + [("<s>",)] * bool(total):  # exactly normalised: all words and the unknown one sum to one
+        assert len(counts[1]) > 2000 or sum(p(w, h) for w in counts[1]) + p(object(), h) == pytest.approx(1)
     for words in docs:
-        score = 0.0
-        for v, w in zip(["<s>", *words[:-1]], words):
-            if b[v, w]:
-                score += math.log10(cut(b[v, w], d2) / context[v])
-            else:
-                score += math.log10(alpha.get(v, 1.0) * p1(w))
-        base = sum(math.log10((u[w] + 0.1) / (total + 0.1 * (types + 1))) for w in words)
-        yield len(words), sum(u[w] > 0 for w in words), total, base, score
-
-
-@pytest.mark.parametrize("head", [1 << 16, 16])
-def test_katz_is_the_brute_force_model(spark, data, odd, head, monkeypatch):
-    monkeypatch.setattr(katz, "HEAD", head)
+        line = ["<s>", *words]
+        score = sum(math.log10(p(line[i], tuple(line[max(0, i - order + 1) : i]))) for i in range(1, len(line)))
+        base = sum(math.log10((counts[1][w] + 0.1) / (total + 0.1 * (types + 1))) for w in words)
+        yield len(words), sum(counts[1][w] > 0 for w in words), total, base, score
+
+
+def check_katz(rows, got, order=katz.ORDER):
+    words = [[*(r.text or "").encode().lower().split(), b""] for r in rows]
+    training = [zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 10 != 0 for r in rows]
+    want = sorted((str(r.doc_id), not t, *x) for r, t, x in zip(rows, training, brute_katz(words, training, order), strict=True))
+    got = sorted((str(r.doc_id), *tuple(r)[1:]) for r in got)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
+
+
+@pytest.mark.parametrize("hot, block", [(katz.HOT_TOKENS, katz.BLOCK_TOKENS), (20, 3000)])
+def test_katz_is_the_brute_force_model(spark, data, odd, hot, block, monkeypatch):
+    monkeypatch.setattr(katz, "HOT_TOKENS", hot)
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", block)
     for folder in (data, odd):
         rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
-        words = [[*(r.text or "").encode().lower().split(), "</s>"] for r in rows]
-        training = [zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 10 != 0 for r in rows]
-        want = sorted((str(r.doc_id), not t, *x) for r, t, x in zip(rows, training, brute_katz(words, training)))
-        got = sorted((str(r.doc_id), *tuple(r)[1:]) for r in katz.op2_katz_scores(spark, folder).collect())
-        assert [g[:5] for g in got] == [w[:5] for w in want]
-        assert np.allclose([g[5:] for g in got], [w[5:] for w in want])
+        check_katz(rows, katz.op2_katz_scores(spark, folder).collect())
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz_of_a_corpus_of_one_pair(spark, table, order, monkeypatch):
+    monkeypatch.setattr(katz, "HOT_TOKENS", 50)
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 200)
+    rows = [(n, "a b " * (n % 40) + ("c" if n % 3 else "a a")) for n in range(90)]
+    folder = table("documents", rows, "doc_id long, text string")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    path = common.new_path(spark, "model")
+    check_katz(docs.collect(), katz.scores(docs, common.fold(F.col("doc_id"), 10) != 0, path, order).collect(), order)
+    assert katz.read_table_of(spark, path, order).agg(F.sum("c")).first()[0] > 2000
 
 
 def test_katz_beats_the_base_on_held_out_texts(spark, data):

@@ -1,15 +1,16 @@
-"""Katz back-off bigram model over whole documents.
-
-log10 P(w | v) is log10 of the Good-Turing discounted count of (v, w) over the count of v where the pair was seen in
-training, else the back-off weight of v times P(w); P(w) is the discounted count of w over all tokens where w was
-seen, else the mass left for unknown words. Counts up to LARGE are discounted by Good-Turing, larger ones lose
-TRIM, so that every context keeps mass for unseen words; back-off weights make each context sum to exactly one.
-
-Words are keyed by 64-bit XXH64. The words that hold at least 1 / HEAD of the training tokens (HEAD at most) are
-broadcast. Each occurrence of a pair travels once, in compressed blocks: pairs of another second word go to the
-bucket of that word, pairs of a head word to the bucket of the pair, so no bucket holds a frequent word whole. A
-bucket counts its pairs, writes them to the model's table, and sums each document's share; context totals and the
-pairs unseen in training follow as small tables.
+"""Katz back-off model of any order over whole documents; trigrams by default.
+
+P(w | h) is the Good-Turing discounted count of the n-gram h w over the count of h where it was seen in training, else
+the back-off weight of h times P(w | h without its first word), down to P(w), which is the discounted count of w over
+all tokens, or the mass left for unknown words. Counts up to LARGE are discounted by Good-Turing, larger ones lose TRIM,
+so that every context keeps mass for unseen words; back-off weights make each context sum to exactly one.
+
+Documents are held in blocks, stored once. Each order is one round of questions and answers. A block asks the buckets of
+its different n-grams, by context, with its own training counts: what travels is one row per n-gram and block, so a
+frequent word, pair or context is combined before its shuffle, and the n-grams of the most frequent contexts are dealt
+by word as well. A bucket adds the counts up, writes them with the sums that make the contexts' weights to the model's
+table, numbers its n-grams and answers. An n-gram's number and a word's number make the key of the next order, so keys
+are exact beyond the 64-bit hashes of words. In the end a block scores its documents from all its answers.
 """
 
 from __future__ import annotations
@@ -17,28 +18,33 @@ from __future__ import annotations
 import math
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
 import zstandard
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, new_path, read_table, release_shuffles
+from .common import drop_path, fold, new_path, read_table, store
 
-#: At most so many words are broadcast, each with at least 1 / HEAD of the training tokens.
-HEAD = 1 << 16
+ORDER = 3
 #: Counts up to this are discounted by Good-Turing; larger ones lose TRIM of a count.
 LARGE, TRIM = 5, 0.01
-#: Tokens of a block that a map task holds, and of a bucket.
-BLOCK_TOKENS, BUCKET_TOKENS = 1_250_000, 2_000_000
-#: Rows of a batch that a bucket gives back.
-SHARE_ROWS = 1 << 15
+#: Tokens of a block, and of a bucket. The pieces that a round exchanges are all tokens squared over their product.
+BLOCK_TOKENS, BUCKET_TOKENS = 2_000_000, 2_000_000
+#: Contexts of so many training tokens have their n-grams dealt by word.
+HOT_TOKENS = BUCKET_TOKENS // 4
+#: Tasks of a round over blocks at most.
+TASKS = 100_000
 #: Word hashes kept per Python worker.
 CACHE_WORDS = 200_000
-END, BEGIN = xxhash.xxh64_intdigest(b""), xxhash.xxh64_intdigest(b" ")  # no word is empty or holds a blank
+END = xxhash.xxh64_intdigest(b"")  # no word is empty
+#: The number of the context before a text; words are numbered from the number of buckets on.
+BEGIN = 0
 
 
 class _Hashes(dict):
@@ -67,330 +73,444 @@ def _discounted(count: np.ndarray, table: list[float]) -> np.ndarray:
     return np.where(count <= LARGE, small[np.minimum(count, LARGE)], count - TRIM)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
-    """(token hashes with an end after each text, tokens per text, other columns by row) of bounded blocks.
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed blob; whole numbers are cut to the bytes they need and stored by significance."""
+    head, body = [struct.pack("<H", len(arrays))], []
+    for x in arrays:
+        if x.dtype.kind in "iub":
+            x = x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
+        head.append(struct.pack("<2sQ", x.dtype.str[1:].encode(), len(x)))
+        body.append(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(head + body))
 
-    The text is the last column. A text longer than a block is a block of its own.
-    """
-    hashes = _Hashes()
-    held, sizes, rows, total = [], [], [], 0
-    for batch in batches:
-        *others, texts = (c.to_pylist() for c in batch.columns)
-        for row in zip(*others, texts, strict=True):
-            words = (row[-1] or b"").lower().split()
-            tokens = np.empty(len(words) + 1, np.uint64)
-            tokens[:-1] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-            tokens[-1] = END
-            held.append(tokens)
-            sizes.append(len(tokens))
-            rows.append(row[:-1])
-            total += len(tokens)
-            if total >= BLOCK_TOKENS:
-                yield np.concatenate(held), np.array(sizes), rows
-                held, sizes, rows, total = [], [], [], 0
-    if held:
-        yield np.concatenate(held), np.array(sizes), rows
-
-
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word long, c long) of a table of one binary column text: tokens by hash, ends included."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, _, _ in _blocks(batches):
-            word, c = np.unique(tokens, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(c)], ["word", "c"])
-
-    return texts.mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def _planes(values: np.ndarray) -> bytes:
-    """Bytes of an array by significance, which compress better than whole numbers."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
-
-
-def _whole(data: memoryview, kind: type, n: int) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width).reshape(width, n).T).view(kind).reshape(n)
-
-
-class Words:
-    """The head: hashes in order of frequency, with their training counts."""
 
-    def __init__(self, word: np.ndarray, count: np.ndarray, tokens: int, types: int, table: list[float], unknown: float) -> None:
-        order = np.lexsort((word, -count))
-        self.word, self.count = word[order], count[order]
-        self.by_hash = np.argsort(self.word)
-        self.sorted = self.word[self.by_hash]
-        self.tokens, self.types, self.table, self.unknown = tokens, types, table, unknown
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    """Arrays of a blob; whole numbers come as 64 bits."""
+    data = memoryview(zstandard.ZstdDecompressor().decompress(blob))
+    (n,) = struct.unpack_from("<H", data)
+    kinds = [struct.unpack_from("<2sQ", data, 2 + 10 * i) for i in range(n)]
+    at, out = 2 + 10 * n, []
+    for kind, size in kinds:
+        kind = np.dtype("<" + kind.decode())
+        x = np.ascontiguousarray(np.frombuffer(data, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size).T).view(kind).reshape(size)
+        out.append(x if kind.kind == "f" else x.astype(np.int64) if kind.itemsize < 8 else x.view(np.int64))
+        at += size * kind.itemsize
+    return out
 
-    def rank(self, words: np.ndarray) -> np.ndarray:
-        """Rank of each word, -1 outside the head."""
-        if not len(self.word):
-            return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == words, self.by_hash[at], -1)
 
-    def base(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
-
-    def probability(self, count: np.ndarray) -> np.ndarray:
-        """P(w) by training count; unknown words share what discounting leaves."""
-        return np.where(count > 0, _discounted(count, self.table) / max(self.tokens, 1), self.unknown)
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of an ascending array, with its first element."""
+    return np.diff(x, prepend=x[:1] * 0)
 
 
 def _mix(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """One 64-bit key of a pair of hashes."""
+    """One 64-bit hash of a pair of numbers."""
     with np.errstate(over="ignore"):
-        x = first * np.uint64(0x9E3779B97F4A7C15) + second
+        x = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64)
         x ^= x >> np.uint64(29)
         x *= np.uint64(0xBF58476D1CE4E5B9)
         return x ^ (x >> np.uint64(32))
 
 
-def _coded(words: np.ndarray, rank: np.ndarray, head: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (rank, or head + place in the list of other words) and that list."""
-    other = rank < 0
-    tail, place = np.unique(words[other], return_inverse=True)
-    code = rank.astype(np.uint32)
-    code[other] = head + place
-    return code, tail
-
+def blocks(docs: DataFrame) -> DataFrame:
+    """(block, tokens, starts, blob) of docs(doc_id, training, text): some BLOCK_TOKENS tokens of whole documents each;
+    tokens and starts are those of training documents."""
 
-def _pack(first: np.ndarray, second: np.ndarray, doc: np.ndarray, base: int, train: np.ndarray, ranks: tuple, head: int) -> bytes:
-    a, tail_a = _coded(first, ranks[0], head)
-    b, tail_b = _coded(second, ranks[1], head)
-    order = np.lexsort((doc, a, b))
-    a, b, doc = a[order], b[order], doc[order]
-    parts = [struct.pack("<qIIII", base, len(a), len(tail_a), len(tail_b), len(train)), _planes(a), _planes(np.diff(b, prepend=b[:1] * 0)), _planes(doc.astype(np.uint32)), _planes(tail_a), _planes(tail_b), np.packbits(train).tobytes()]
-    return b"D" + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        number = TaskContext.get().partitionId() << 20
+        hashes = _Hashes()
+        held: list[np.ndarray] = []
+        rows: list[tuple] = []
+        total = 0
 
-def _unpack(blob: bytes, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First words, second words, rank of the second, document keys and training flags of a block."""
-    data = memoryview(zstandard.ZstdDecompressor().decompress(blob[1:]))
-    base, n, na, nb, docs = struct.unpack_from("<qIIII", data)
-    at = 24
+        def flush() -> pa.RecordBatch:
+            words, index = np.unique(np.concatenate(held), return_inverse=True)
+            size = np.array([len(t) for t in held])
+            train = np.array([bool(r[1]) for r in rows])
+            ids = np.array([r[0] or 0 for r in rows], np.int64).view(np.uint64)
+            blob = _pack(ids, np.array([r[0] is None for r in rows]), train, size, _steps(words), index.astype(np.uint64))
+            cols = [pa.array([number]), pa.array([int(size[train].sum())]), pa.array([int(train.sum())]), pa.array([blob], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["block", "tokens", "starts", "blob"])
+
+        for batch in batches:
+            for doc_id, training, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = (text or b"").lower().split()
+                tokens = np.empty(len(words) + 1, np.uint64)
+                tokens[:-1] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+                tokens[-1] = END
+                held.append(tokens)
+                rows.append((doc_id, training))
+                total += len(tokens)
+                if total >= BLOCK_TOKENS:
+                    yield flush()
+                    held, rows, total, number = [], [], 0, number + 1
+        if held:
+            yield flush()
+
+    return docs.mapInArrow(run, "block long, tokens long, starts long, blob binary")
+
+
+class Model:
+    """What all tasks know: sizes, where tables lie, and the discounts of the orders counted so far."""
+
+    def __init__(self, path: str, order: int, tokens: int, starts: int) -> None:
+        self.path, self.order, self.tokens, self.starts = path, order, tokens, starts
+        self.buckets = max(32, -(-tokens // BUCKET_TOKENS))
+        self.hot = HOT_TOKENS
+        self.types, self.unknown = 0, 1.0
+        self.tables: list[list[float]] = [[]]
+
+    def learn(self, n: int, counts: dict[int, int], types: int, large: int) -> None:
+        """Discounts of order n from its counts of counts; types and large (the sum of counts above LARGE + 1's own)
+        give the mass that order 1 leaves for unknown words."""
+        self.tables.append(discounts(counts))
+        if n == 1:
+            self.types = types
+            over = types - sum(counts.get(r, 0) for r in range(1, LARGE + 1))
+            kept = sum(counts.get(r, 0) * self.tables[1][r - 1] for r in range(1, LARGE + 1)) + large - TRIM * over
+            self.unknown = 1 - kept / self.tokens if self.tokens else 1.0
+
+
+def _rows(path: str, block: int) -> list[tuple[int, bytes]]:
+    """(bucket, blob) of a block's rows in a table that is partitioned by block."""
+    where, root = fs.FileSystem.from_uri(f"{path}/block={block}")
+    if where.get_file_info(root).type == fs.FileType.NotFound:
+        return []
+    files = [f.path for f in where.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet")]
     out = []
-    for kind, size in ((np.uint32, n), (np.uint32, n), (np.uint32, n), (np.uint64, na), (np.uint64, nb)):
-        out.append(_whole(data[at:], kind, size))
-        at += size * np.dtype(kind).itemsize
-    a, b, doc, tail_a, tail_b = out
-    b = np.cumsum(b, dtype=np.uint32)
-    train = np.unpackbits(np.frombuffer(data[at:], np.uint8), count=docs).astype(bool)
-    rank = np.where(b < len(words.word), b.astype(np.int64), -1)
-    return np.concatenate([words.word, tail_a])[a], np.concatenate([words.word, tail_b])[b], rank, base + doc.astype(np.int64), train[doc]
+    for name in files:
+        with where.open_input_file(name) as file:
+            table = pq.read_table(file)
+            at = table.column("bucket").to_pylist() if "bucket" in table.column_names else [0] * len(table)
+            out += list(zip(at, table.column("blob").to_pylist(), strict=True))
+    return out
+
+
+class Block:
+    """The tokens of some documents, and what the rounds have told of the n-grams that end at each of them."""
+
+    def __init__(self, model: Model, number: int) -> None:
+        self.model, self.number = model, number
+        ids, null, train, size, words, self.index = _unpack(_rows(f"{model.path}/blocks", number)[0][1])
+        self.ids, self.null, self.train, self.size = ids, null.astype(bool), train.astype(bool), size
+        self.words = np.cumsum(words.view(np.uint64), dtype=np.uint64)
+        self.doc = np.repeat(np.arange(len(size)), size)
+        self.learnt = self.train[self.doc]
+        self.first = np.zeros(len(self.index), bool)
+        self.first[np.cumsum(size) - size] = True
+        self.count: dict[int, np.ndarray] = {}
+        self.gram: dict[int, np.ndarray] = {}
+        self.weight: dict[int, np.ndarray] = {}
+
+    def before(self, values: np.ndarray, at_first: int) -> np.ndarray:
+        """Values of the token before each, `at_first` where a document starts."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.first] = at_first
+        return out
+
+    def context(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number, training count) of each token's context of order n; count 0 where there is none."""
+        return self.before(self.gram[n - 1], BEGIN), self.before(self.count[n - 1], self.model.starts if n == 2 else 0)
+
+    def _words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words in order of their buckets, and where each bucket starts."""
+        at = (self.words % np.uint64(self.model.buckets)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        return order, np.searchsorted(at[order], np.arange(self.model.buckets + 1))
+
+    def _grams(self, n: int) -> SimpleNamespace:
+        """Contexts and n-grams of order n to be asked for, dealt to buckets. A context's n-grams that can't have been
+        seen, as their lower order wasn't, are left out; contexts of documents to be scored come with or without any."""
+        buckets = self.model.buckets
+        context, size = self.context(n)
+        entry = (size > 0) & (self.count[n - 1] > 0)
+        used = np.flatnonzero(entry | ((size > 0) & ~self.learnt))
+        entries = np.flatnonzero(entry)
+        known, one, where = np.unique(context[used], return_index=True, return_inverse=True)
+        one = used[one]
+        row = np.full(len(context), -1)
+        row[used] = where
+        asked = np.zeros(len(known), bool)
+        asked[where[~self.learnt[used]]] = True
+        hot = size[one] >= self.model.hot
+        low = np.full(len(known), max(self.model.tokens, 1)) if n == 2 else self.before(self.count[n - 2], 0)[one]
+        key, example, inverse = np.unique(row[entries] * len(self.words) + self.rank[self.index[entries]], return_index=True, return_inverse=True)
+        of, example = key // len(self.words), entries[example]
+        home = (_mix(known, known) % np.uint64(buckets)).astype(np.int64)
+        at = np.where(hot[of], (_mix(known[of], self.gram[1][example]) % np.uint64(buckets)).astype(np.int64), home[of])
+        order = np.argsort(at, kind="stable")
+        cells = at * len(known) + of
+        # contexts of each piece: those at home there, and hot ones with an n-gram there
+        pairs = np.unique(np.concatenate([(home * len(known) + np.arange(len(known)))[~hot], cells]))
+        return SimpleNamespace(
+            known=known, row=row, asked=asked, hot=hot, low=low, entries=entries, example=example, inverse=inverse, order=order,
+            edge=np.searchsorted(at[order], np.arange(buckets + 1)),
+            first=np.searchsorted(pairs, np.arange(buckets + 1) * len(known)),
+            followers=np.diff(np.searchsorted(cells[order], np.append(pairs, np.iinfo(np.int64).max))),
+            cell=pairs % max(len(known), 1),
+        )
+
+    def ask(self, n: int) -> Iterator[tuple[int, bytes]]:
+        """(bucket, blob) of the questions of order n."""
+        if n == 1:
+            times = np.bincount(self.index[self.learnt], minlength=len(self.words))
+            order, edge = self._words()
+            for b in np.flatnonzero(np.diff(edge)).tolist():
+                own = order[edge[b] : edge[b + 1]]
+                yield b, _pack(_steps(self.words[own]), times[own])
+            return
+        g = self._grams(n)
+        times = np.bincount(g.inverse, self.learnt[g.entries], len(g.example)).astype(np.int64)
+        word, below = self.gram[1][g.example], self.count[n - 1][g.example]
+        for b in np.flatnonzero(np.diff(g.first)).tolist():
+            own, mine = g.order[g.edge[b] : g.edge[b + 1]], slice(g.first[b], g.first[b + 1])
+            c = g.cell[mine]
+            yield b, _pack(_steps(g.known[c]), g.followers[mine], g.asked[c] + 2 * g.hot[c], g.low[c], word[own], times[own], below[own])
+
+    def hear(self, n: int) -> None:
+        """Take the answers of order n."""
+        answers = _rows(f"{self.model.path}/answers{n}", self.number)
+        if n == 1:
+            order, edge = self._words()
+            count, gram = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
+            for b, blob in answers:
+                own = order[edge[b] : edge[b + 1]]
+                count[own], gram[own] = _unpack(blob)
+            self.count[1], self.gram[1] = count[self.index], gram[self.index]
+            self.rank = np.empty(len(gram), np.int64)
+            self.rank[np.argsort(gram, kind="stable")] = np.arange(len(gram))
+            return
+        g = self._grams(n)
+        count, gram = np.zeros(len(g.order), np.int64), np.zeros(len(g.order), np.int64)
+        weight = np.full(len(g.known), np.nan)
+        for b, blob in answers:
+            c, number, *sums, mass = _unpack(blob)
+            own = g.order[g.edge[b] : g.edge[b + 1]]
+            count[own], gram[own] = c, np.cumsum(number) * self.model.buckets + b
+            mine = g.cell[g.first[b] : g.first[b + 1]]
+            mine = mine[g.asked[mine] & ~g.hot[mine]]
+            weight[mine] = log_weight(np.stack(sums), mass / g.low[mine], self.model.tables[n])
+        self.count[n], self.gram[n] = np.zeros(len(self.index), np.int64), np.zeros(len(self.index), np.int64)
+        self.count[n][g.entries], self.gram[n][g.entries] = count[g.inverse], gram[g.inverse]
+        self.weight[n] = np.where(g.row >= 0, weight[g.row], np.nan) if len(weight) else np.full(len(self.index), np.nan)
+
+    def score(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(known, base, score) per document, and (document, order, context, times) of hot contexts backed off from."""
+        model, docs = self.model, len(self.size)
+        one = self.count[1]
+        known = np.bincount(self.doc[one > 0], minlength=docs)
+        base = np.bincount(self.doc, np.log10((one + 0.1) / (model.tokens + 0.1 * (model.types + 1))), docs)
+        value = np.log10(np.where(one > 0, _discounted(one, model.tables[1]) / max(model.tokens, 1), model.unknown))
+        events = []
+        for n in range(2, model.order + 1):
+            context, size = self.context(n)
+            seen = self.count[n] > 0
+            back = (size > 0) & ~seen
+            value[seen] = np.log10(_discounted(self.count[n][seen], model.tables[n]) / size[seen])
+            hot = back & (size >= model.hot)
+            value[back & ~hot] += self.weight[n][back & ~hot]
+            if hot.any():
+                pair, times = np.unique(np.stack([self.doc[hot], context[hot]]), axis=1, return_counts=True)
+                events.append((pair[0], np.full(len(times), n), pair[1], times))
+        return [known, base, np.bincount(self.doc, value, docs)], [np.concatenate(e) for e in zip(*events, strict=True)] if events else []
+
+
+def log_weight(sums: np.ndarray, mass: np.ndarray, table: list[float]) -> np.ndarray:
+    """log10 of contexts' back-off weights from sums (counts of 1 to LARGE, number and sum of larger ones) and the
+    lower order's probability of their seen words."""
+    held = sum(sums[r] * table[r] for r in range(LARGE)) + sums[LARGE + 1] - TRIM * sums[LARGE]
+    total = sum(sums[r] * (r + 1) for r in range(LARGE)) + sums[LARGE + 1]
+    return np.log10(1 - held / total) - np.log10(1 - mass)
+
+
+#: What a bucket writes, by kind: 0 its part of the model's table, 1 an answer, 2 its counts of counts (r1 to r5, large:
+#: of LARGE + 1, types, larges: the sum of counts above LARGE), 3 its share of a hot context's sums.
+SUMS = [*(f"r{r}" for r in range(1, LARGE + 1)), "large", "larges"]
+FOUND = "kind int, block long, bucket int, blob binary, context long, " + ", ".join(f"{s} long" for s in SUMS) + ", types long, mass double, low long"
+
+
+def _found(kind: int, n: int, **cols: object) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    fields = [f.split() for f in FOUND.split(", ")]
+    cols["kind"] = np.full(n, kind, np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(cols[f], kinds[k]) if f in cols else pa.nulls(n, kinds[k]) for f, k in fields], [f for f, _ in fields])
+
+
+def _statistics(count: np.ndarray) -> pa.RecordBatch:
+    hist = np.bincount(np.minimum(count, LARGE + 2), minlength=LARGE + 3)
+    cols = {f"r{r}": [int(hist[r])] for r in range(1, LARGE + 1)}
+    return _found(2, 1, **cols, large=[int(hist[LARGE + 1])], larges=[int(count[count > LARGE].sum())], types=[len(count)])
+
+
+def answer_words(model: Model, bucket: int, questions: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Answers of order 1; frequent words have small numbers."""
+    parts = [_unpack(b) for _, b in questions]
+    words = [np.cumsum(p[0].view(np.uint64), dtype=np.uint64) for p in parts]
+    every, of = np.unique(np.concatenate(words), return_inverse=True)
+    count = np.bincount(of, np.concatenate([p[1] for p in parts]), len(every)).astype(np.int64)
+    number = np.empty(len(every), np.int64)
+    number[np.argsort(-count, kind="stable")] = (np.arange(len(every)) + 1) * model.buckets + bucket
+    seen = count > 0
+    yield _found(0, 1, bucket=[bucket], blob=[_pack(_steps(every[seen]), number[seen], count[seen])])
+    yield _statistics(count[seen])
+    at = 0
+    for block, w in zip((q[0] for q in questions), words, strict=True):
+        own = of[at : at + len(w)]
+        at += len(w)
+        yield _found(1, 1, block=[block], bucket=[bucket], blob=[_pack(count[own], number[own] * seen[own])])
+
+
+def answer(model: Model, n: int, bucket: int, questions: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Answers of order n, two or more: counts and numbers of n-grams, and the sums of contexts asked for."""
+    if n == 1:
+        yield from answer_words(model, bucket, questions)
+        return
+    parts = [_unpack(b) for _, b in questions]
+    contexts = [np.cumsum(p[0]) for p in parts]
+    context = np.concatenate([np.repeat(c, p[1]) for c, p in zip(contexts, parts, strict=True)])
+    word, times, below = (np.concatenate([p[i] for p in parts]) for i in (4, 5, 6))
+    order = np.lexsort((word, context))
+    new = np.r_[True, (context[order][1:] != context[order][:-1]) | (word[order][1:] != word[order][:-1])][: len(order)]
+    start = np.flatnonzero(new)
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    count = np.add.reduceat(times[order], start) if len(start) else np.zeros(0, np.int64)
+    seen = np.flatnonzero(count > 0)
+    lead, c = order[start[seen]], count[seen]
+    own, followers = np.unique(context[lead], return_counts=True)
+    edge = np.cumsum(followers) - followers
+    add = lambda x: np.add.reduceat(x, edge) if len(edge) else x[:0]
+    large = c > LARGE
+    sums = [add((c == r).astype(np.int64)) for r in range(1, LARGE + 1)] + [add(large.astype(np.int64)), add(np.where(large, c, 0))]
+    mass = add(_discounted(below[lead], model.tables[n - 1]))
+    yield _found(0, 1, bucket=[bucket], blob=[_pack(_steps(own), followers, word[lead], c, mass.astype(np.float32))])
+    yield _statistics(c)
+    every, flags, low = np.concatenate(contexts), np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
+    hot, example = np.unique(every[flags >= 2], return_index=True)
+    at = np.flatnonzero(np.isin(own, hot))
+    if len(at):
+        lows = low[flags >= 2][example][np.searchsorted(hot, own[at])]
+        yield _found(3, len(at), context=own[at], mass=mass[at], low=lows, **{s: x[at] for s, x in zip(SUMS, sums, strict=True)})
+    number = np.cumsum(count > 0) - (count > 0)  # an unseen n-gram has the number of the next, and count 0
+    at = 0
+    for (block, _), p, c in zip(questions, parts, contexts, strict=True):
+        mine = of[at : at + len(p[4])]
+        at += len(p[4])
+        asked = np.searchsorted(own, c[p[2] == 1])
+        yield _found(1, 1, block=[block], bucket=[bucket], blob=[_pack(count[mine], _steps(number[mine]), *(x[asked] for x in sums), mass[asked])])
+
+
+def _round(spark: SparkSession, model: Model, n: int, ids: DataFrame, tasks: int) -> None:
+    """Count the n-grams of order n: the table's parts, statistics and hot contexts go below path/order<n>, answers to
+    path/answers<n>, partitioned by block."""
+    path, buckets = model.path, model.buckets
+    shared = spark.sparkContext.broadcast(model)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                block = Block(shared.value, number)
+                for m in range(1, n):
+                    block.hear(m)
+                for bucket, blob in block.ask(n):
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([number]), pa.array([blob], pa.binary())], ["bucket", "block", "blob"])
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes]] = []
+        now = None
+        for batch in batches:  # sorted by bucket
+            for bucket, *question in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now and held:
+                    yield from answer(shared.value, n, now, held)
+                    held = []
+                now = bucket
+                held.append(tuple(question))
+        if held:
+            yield from answer(shared.value, n, now, held)
 
-def _pairs(docs: DataFrame, words: Words, buckets: int, starts: int) -> DataFrame:
-    """(bucket, blob) of all pairs of docs(doc_id, training, text), and of the documents' own rows."""
+    questions = ids.mapInArrow(ask, "bucket int, block long, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
+    questions.mapInArrow(work, FOUND).write.partitionBy("kind").parquet(f"{path}/order{n}")
+    found = spark.read.schema(FOUND).parquet(f"{path}/order{n}")
+    answers = found.where("kind = 1").select("block", "bucket", "blob")
+    answers.repartition(tasks, "block").sortWithinPartitions("block").write.partitionBy("block").parquet(f"{path}/answers{n}")
+    drop_path(spark, f"{path}/order{n}/kind=1")
+    s = spark.read.schema(FOUND).parquet(f"{path}/order{n}").where("kind = 2").agg(*[F.sum(x) for x in [*SUMS, "types"]]).first()
+    *small, large, larges, types = (int(x or 0) for x in s)
+    model.learn(n, dict(enumerate([*small, large], 1)), types, larges)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << 36
-        head = len(words.word)
-        begin = -math.log10(starts) if starts else 0.0
-        for tokens, sizes, rows in _blocks(batches):
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            last = np.cumsum(sizes) - 1
-            before = np.empty_like(tokens)
-            before[1:] = tokens[:-1]
-            before[last - sizes + 1] = BEGIN
-            rank = words.rank(tokens)
-            first_rank = np.empty_like(rank)
-            first_rank[1:] = rank[:-1]
-            first_rank[last - sizes + 1] = -1
-            own = rank >= 0
-            count = words.count[rank[own]]
-            known = np.bincount(doc[own], minlength=len(sizes))
-            prior = np.bincount(doc[own], words.base(count), len(sizes))
-            context = np.where(tokens[own] == END, 0.0, np.log10(count))
-            fixed = begin - np.bincount(doc[own], context, len(sizes))
-            header = pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([not r[1] for r in rows]), pa.array(sizes), pa.array(known), pa.array(prior), pa.array(fixed), pa.array(base + np.arange(len(sizes)))],
-                ["doc_id", "held_out", "n_tokens", "known", "base", "fixed", "doc"],
-            )
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, header.schema) as out:
-                out.write_batch(header)
-            train = np.array([bool(r[1]) for r in rows])
-            key = np.where(own, _mix(before, tokens), _mix(tokens, tokens)) % np.uint64(buckets)
-            order = np.argsort(key, kind="stable")
-            edge = np.searchsorted(key[order], np.arange(buckets + 1))
-            blobs, at = [b"H" + sink.getvalue().to_pybytes()], [(base >> 36) % buckets]
-            for bucket in range(buckets):
-                take = order[edge[bucket] : edge[bucket + 1]]
-                if len(take):
-                    blobs.append(_pack(before[take], tokens[take], doc[take], base, train, (first_rank[take], rank[take]), head))
-                    at.append(bucket)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
-            base += len(sizes)
-
-    return docs.mapInArrow(run, "bucket int, blob binary")
-
-
-#: What a bucket writes, by kind: 0 a document's share, 1 a context's share, 2 pairs unseen in training by document
-#: and context, 3 counts of counts, 4 the bucket's pair counts.
-SHARES = "kind int, key long, doc_id long, held_out boolean, n_tokens long, known long, base double, fixed double, r1 long, r2 long, r3 long, r4 long, r5 long, large long, larges long, mass double, blob binary"
-
-
-@lru_cache(maxsize=1)
-def _schema() -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
-    return pa.schema([(name, kinds[kind]) for name, kind in map(str.split, SHARES.split(", "))])
-
-
-def _share(kind: int, n: int, **cols: object) -> Iterator[pa.RecordBatch]:
-    """Rows of one kind as batches of SHARE_ROWS; columns that are not given are null."""
-    for at in range(0, n, SHARE_ROWS):
-        m = min(SHARE_ROWS, n - at)
-        own = {"kind": np.full(m, kind, np.int32)} | {k: v[at : at + m] for k, v in cols.items()}
-        yield pa.RecordBatch.from_arrays([pa.array(own[f.name], f.type) if f.name in own else pa.nulls(m, f.type) for f in _schema()], schema=_schema())
-
-
-def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by key, and where each key starts."""
-    order = np.argsort(keys)
-    ordered = keys[order]
-    return order, np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(keys) else np.zeros(0, np.int64)
-
-
-def bucket_shares(blobs: list[bytes], words: Words) -> Iterator[pa.RecordBatch]:
-    """All that follows from the pairs of one bucket."""
-    for blob in blobs:
-        if blob[:1] == b"H":
-            with pa.ipc.open_stream(blob[1:]) as stream:
-                t = stream.read_all()
-            yield from _share(0, len(t), key=t["doc"].combine_chunks(), **{k: t[k].combine_chunks() for k in ("doc_id", "held_out", "n_tokens", "known", "base", "fixed")})
-    found = [_unpack(b, words) for b in blobs if b[:1] == b"D"]
-    if not found:
-        return
-    first, second, rank, doc, train = (np.concatenate(x) for x in zip(*found, strict=True))
-    del found
-    # training count of each pair
-    order, start = _grouped(_mix(first, second))
-    r_type = np.add.reduceat(train[order].astype(np.int64), start)
-    type_of = np.empty(len(order), np.int64)
-    type_of[order] = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(order)]))
-    example = order[start]
-    r = r_type[type_of]
-    del order, type_of
-    # training count of the second word
-    count = np.zeros(len(second), np.int64)
-    in_head = rank >= 0
-    count[in_head] = words.count[rank[in_head]]
-    tail = np.flatnonzero(~in_head)
-    if len(tail):
-        by, edge = _grouped(second[tail])
-        total = np.add.reduceat(train[tail][by].astype(np.int64), edge)
-        count[tail[by]] = np.repeat(total, np.diff(np.r_[edge, len(tail)]))
-    # each document's share
-    who, at = np.unique(doc, return_inverse=True)
-    n = len(who)
-    unseen = r == 0
-    fixed = np.zeros(len(r))
-    large = r > LARGE
-    fixed[large] = np.log10(r[large] - TRIM)
-    fixed[unseen] = np.log10(words.probability(count[unseen]))
-    known = tail[count[tail] > 0]
-    context = known[second[known] != END]
-    fixed[context] -= np.log10(count[context])
-    shares = {f"r{k}": np.bincount(at[r == k], minlength=n) for k in range(1, LARGE + 1)}
-    yield from _share(0, n, key=who, known=np.bincount(at[known], minlength=n), base=np.bincount(at[tail], words.base(count[tail]), n), fixed=np.bincount(at, fixed, n), **shares)
-    # pairs unseen in training, by document and context
-    if unseen.any():
-        key = doc[unseen]
-        pair, edge = _grouped(_mix(key.view(np.uint64), first[unseen]))
-        lead = pair[edge]
-        yield from _share(2, len(edge), key=key[lead], large=first[unseen][lead].view(np.int64), larges=np.diff(np.r_[edge, len(pair)]))
-    # contexts, counts of counts and the pair counts themselves
-    seen = np.flatnonzero(r_type > 0)
-    if len(seen):
-        r_seen, lead = r_type[seen], example[seen]
-        by, edge = _grouped(first[lead])
-        r_by = r_seen[by]
-        sums = {f"r{k}": np.add.reduceat((r_by == k).astype(np.int64), edge) for k in range(1, LARGE + 1)}
-        big = r_by > LARGE
-        yield from _share(1, len(edge), key=first[lead][by][edge].view(np.int64), large=np.add.reduceat(big.astype(np.int64), edge), larges=np.add.reduceat(np.where(big, r_by, 0), edge), mass=np.add.reduceat(words.probability(count[lead])[by], edge), **sums)
-        hist = np.bincount(np.minimum(r_seen, LARGE + 2), minlength=LARGE + 3)
-        yield from _share(3, LARGE + 1, key=np.arange(1, LARGE + 2), large=hist[1 : LARGE + 2])
-        ranks = words.rank(first[lead]), rank[lead]
-        yield from _share(4, 1, blob=[_pack(first[lead], second[lead], r_seen, 0, np.zeros(0, bool), ranks, len(words.word))])
-
-
-def scores(docs: DataFrame, training: Column, path: str | None = None) -> DataFrame:
+def scores(docs: DataFrame, training: Column, path: str | None = None, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of docs(doc_id, text).
 
-    The model learns from the rows where `training` is true and is left below `path`: table `words` (word, c),
-    and table `pairs` by kind: pair counts in blocks (4), context totals (1), counts of counts (3). Every row is
-    scored once: repeated ids keep their rows, null ids are scored too; a null text is the end token alone. Without
-    training rows every token is unknown with probability one. An empty table gives no rows.
+    The model learns from the rows where `training` is true and is left below `path`, a table per order in parts by
+    bucket; `order` is two or more. A text's first token has the one context before all texts. Every row is scored once:
+    repeated ids keep their rows, null ids are scored too; a null text is the end token alone. Without training rows
+    every token is unknown with probability one. An empty table gives no rows.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "katz")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), training.alias("training"), F.col("text").cast("binary").alias("text"))
-    count_words(rows.where("training").select("text")).write.parquet(f"{path}/words")
-    release_shuffles(spark)
-    table = spark.read.schema("word long, c long").parquet(f"{path}/words")
-    small = F.least("c", F.lit(LARGE + 2))
-    counts = {int(x[0]): (int(x[1]), int(x[2])) for x in table.groupBy(small).agg(F.count("*"), F.sum("c")).collect()}
-    tokens, types = sum(c for _, c in counts.values()), sum(n for n, _ in counts.values())
-    discounted = discounts({r: n for r, (n, _) in counts.items()})
-    kept = sum(n * discounted[r - 1] if r <= LARGE else c - TRIM * n for r, (n, c) in counts.items())
-    head = table.where(F.col("c") >= max(1, -(-tokens // HEAD))).collect()  # HEAD words at most
-    word = np.array([h[0] for h in head], np.int64).view(np.uint64)
-    words = Words(word, np.array([h[1] for h in head], np.int64), tokens, types, discounted, 1 - kept / tokens if tokens else 1.0)
-    starts = int(table.where(F.col("word") == np.uint64(END).view(np.int64).item()).agg(F.sum("c")).first()[0] or 0)
-    buckets = max(32, -(-tokens // BUCKET_TOKENS))
-    shared = spark.sparkContext.broadcast(words)
+    blocks(rows).write.partitionBy("block").parquet(f"{path}/blocks")
+    held = spark.read.schema("tokens long, starts long, blob binary, block long").parquet(f"{path}/blocks")
+    n, tokens, starts = (int(x or 0) for x in held.agg(F.count("*"), F.sum("tokens"), F.sum("starts")).first())
+    model = Model(path, order, tokens, starts)
+    tasks = min(max(n, 1), TASKS)
+    ids = held.select("block").repartition(tasks)
+    for m in range(1, order + 1):
+        _round(spark, model, m, ids, tasks)
+    shared = spark.sparkContext.broadcast(model)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        now = None
-        for batch in batches:  # sorted by bucket
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if bucket != now and held:
-                    yield from bucket_shares(held, shared.value)
-                    held = []
-                now = bucket
-                held.append(blob)
-        if held:
-            yield from bucket_shares(held, shared.value)
-
-    shares = _pairs(rows, words, buckets, starts).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(work, SHARES)
-    writers = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
-    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "8")  # a file per kind, so rows needn't be sorted by it
-    try:
-        shares.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/pairs")
-    finally:
-        spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", writers)
-    del shares  # its shuffle can go only when nothing refers to it
-    release_shuffles(spark)
-    schema = SHARES.replace("kind int, ", "") + ", kind int"
-    pairs = spark.read.schema(schema).parquet(f"{path}/pairs")
-    n = {int(x[0]): int(x[1]) for x in pairs.where("kind = 3").groupBy("key").agg(F.sum("large")).collect()}
-    table2 = discounts(n)
-    small_sums = [F.sum(f"r{k}").alias(f"r{k}") for k in range(1, LARGE + 1)]
-    total = sum((F.col(f"r{k}") * k for k in range(1, LARGE + 1)), F.col("larges"))
-    held = sum((F.col(f"r{k}") * F.lit(table2[k - 1]) for k in range(1, LARGE + 1)), F.col("larges") - F.col("large") * TRIM)
-    contexts = (
-        pairs.where("kind = 1")
-        .groupBy(F.col("key").alias("context"))
-        .agg(*small_sums, F.sum("large").alias("large"), F.sum("larges").alias("larges"), F.sum("mass").alias("mass"))
-        .select("context", (F.log10(F.lit(1.0) - held / total) - F.log10(F.lit(1.0) - F.col("mass")) + F.log10(total.cast("double"))).alias("weight"))
-    )
-    sums = {"known": F.lit(0).cast("long"), "base": F.lit(0.0)} | {f"r{k}": F.lit(0).cast("long") for k in range(1, LARGE + 1)}
-    none = {"doc_id": F.lit(None).cast("long"), "held_out": F.lit(None).cast("boolean"), "n_tokens": F.lit(None).cast("long")}
-    columns = ["key", *none, *sums, "fixed"]
-    unseen = pairs.where("kind = 2").select("key", F.col("large").alias("context"), F.col("larges").alias("times"))
-    backed = unseen.join(contexts, "context").groupBy("key").agg(F.sum(F.col("times") * F.col("weight")).alias("fixed")).withColumns(sums | none)
-    own = pairs.where("kind = 0").select(*columns).unionByName(backed.select(*columns))
-    done = own.groupBy("key").agg(*[F.max(c).alias(c) for c in none], *[F.sum(c).alias(c) for c in [*sums, "fixed"]])
-    logs = sum((F.coalesce(f"r{k}", F.lit(0)) * F.lit(math.log10(table2[k - 1])) for k in range(1, LARGE + 1)), F.col("fixed"))
-    return done.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), logs.alias("score"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "order", "context", "times"]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int64(), pa.int64()]
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                block = Block(shared.value, number)
+                for m in range(1, order + 1):
+                    block.hear(m)
+                (known, base, score), events = block.score()
+                row = (number << 22) + np.arange(len(known))  # a document has a token at least
+                cols = [row, pa.array(block.ids.view(np.int64), mask=block.null), ~block.train, block.size, known, base, score, None, None, None]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(row), k) if c is None else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+                if events:
+                    doc, which, context, times = events
+                    cols = [row[doc], *[None] * 6, which, context, times]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(doc), k) if c is None else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, order int, context long, times long"
+    found = store(ids.mapInArrow(run, schema), "scores")
+    texts, events = found.where("order is null"), found.where("order is not null")
+    if not events.isEmpty():
+        hot = None
+        for m in range(2, order + 1):
+            sums = spark.read.schema(FOUND).parquet(f"{path}/order{m}").where("kind = 3").groupBy("context").agg(*[F.sum(s).alias(s) for s in SUMS], F.sum("mass").alias("mass"), F.first("low").alias("low"))
+            kept = sum((F.col(f"r{r}") * F.lit(model.tables[m][r - 1]) for r in range(1, LARGE + 1)), F.col("larges") - F.col("large") * TRIM)
+            total = sum((F.col(f"r{r}") * r for r in range(1, LARGE + 1)), F.col("larges"))
+            own = sums.select(F.lit(m).alias("order"), "context", (F.log10(1 - kept / total) - F.log10(1 - F.col("mass") / F.col("low"))).alias("weight"))
+            hot = own if hot is None else hot.unionAll(own)
+        backed = events.select("row", "order", "context", "times").join(hot, ["order", "context"]).groupBy("row").agg(F.sum(F.col("times") * F.col("weight")).alias("more"))
+        texts = texts.join(backed, "row", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
+    return texts.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def read_table_of(spark: SparkSession, path: str, order: int) -> DataFrame:
+    """(context, word, c, mass) rows of a model's table of order two or more: numbers of context and word, the count,
+    and the context's sum of discounted lower counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                context, followers, word, c, mass = _unpack(blob)
+                cols = [np.repeat(np.cumsum(context), followers), word, c, np.repeat(mass.astype(np.float64), followers)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["context", "word", "c", "mass"])
+
+    return spark.read.schema(FOUND).parquet(f"{path}/order{order}").where("kind = 0").select("blob").mapInArrow(run, "context long, word long, c long, mass double")
 
 
 def op2_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base and model scores of all documents, learnt from those whose fold of ten is not 0."""
+    """Base and trigram scores of all documents, learnt from those whose fold of ten is not 0."""
     docs = read_table(spark, sf_dir, "documents")
     return scores(docs, fold(F.col("doc_id"), 10) != 0)
