@@ -188,21 +188,38 @@ def _rows(path: str, block: int) -> list[tuple[int, bytes]]:
     return out
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different values in order, a place of each, and which one each key is."""
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(key), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], order[new], which
+
+
 class Block:
-    """The tokens of some documents, and what the rounds have told of the n-grams that end at each of them."""
+    """The tokens of some documents, and what the rounds have told of the n-grams that end at each of them.
+
+    The n-grams of an order have places in the order of their numbers, in arrays of training counts and numbers; `place`
+    says which one ends at each token, -1 for none. The context before all texts is the first of the words.
+    """
 
     def __init__(self, model: Model, number: int) -> None:
         self.model, self.number = model, number
-        ids, null, train, size, words, self.index = _unpack(_rows(f"{model.path}/blocks", number)[0][1])
+        ids, null, train, size, words, index = _unpack(_rows(f"{model.path}/blocks", number)[0][1])
         self.ids, self.null, self.train, self.size = ids, null.astype(bool), train.astype(bool), size
         self.words = np.cumsum(words.view(np.uint64), dtype=np.uint64)
-        self.doc = np.repeat(np.arange(len(size)), size)
+        self.index = index.astype(np.int32)
+        self.doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
         self.learnt = self.train[self.doc]
-        self.first = np.zeros(len(self.index), bool)
+        self.first = np.zeros(len(index), bool)
         self.first[np.cumsum(size) - size] = True
-        self.count: dict[int, np.ndarray] = {}
-        self.gram: dict[int, np.ndarray] = {}
-        self.weight: dict[int, np.ndarray] = {}
+        self.place: dict[int, np.ndarray] = {}
+        self.counts: dict[int, np.ndarray] = {}
+        self.numbers: dict[int, np.ndarray] = {}
+        self.weights: dict[int, np.ndarray] = {}
 
     def before(self, values: np.ndarray, at_first: int) -> np.ndarray:
         """Values of the token before each, `at_first` where a document starts."""
@@ -211,48 +228,62 @@ class Block:
         out[self.first] = at_first
         return out
 
+    def count(self, n: int) -> np.ndarray:
+        """Training count of the n-gram that ends at each token."""
+        return np.where(self.place[n] >= 0, self.counts[n][self.place[n]], 0) if len(self.counts[n]) else np.zeros(len(self.first), np.int64)
+
     def context(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(number, training count) of each token's context of order n; count 0 where there is none."""
-        return self.before(self.gram[n - 1], BEGIN), self.before(self.count[n - 1], self.model.starts if n == 2 else 0)
+        """(place, training count) of each token's context of order n; count 0 where there is none."""
+        place = self.before(self.place[n - 1], 0 if n == 2 else -1)
+        return place, np.where(place >= 0, self.counts[n - 1][place], 0) if len(self.counts[n - 1]) else np.zeros(len(place), np.int64)
 
     def _words(self) -> tuple[np.ndarray, np.ndarray]:
         """Words in order of their buckets, and where each bucket starts."""
-        at = (self.words % np.uint64(self.model.buckets)).astype(np.int64)
+        at = (self.words % np.uint64(self.model.buckets)).astype(np.int32)
         order = np.argsort(at, kind="stable")
         return order, np.searchsorted(at[order], np.arange(self.model.buckets + 1))
 
     def _grams(self, n: int) -> SimpleNamespace:
         """Contexts and n-grams of order n to be asked for, dealt to buckets. A context's n-grams that can't have been
         seen, as their lower order wasn't, are left out; contexts of documents to be scored come with or without any."""
-        buckets = self.model.buckets
+        buckets, numbers = self.model.buckets, self.numbers[n - 1]
         context, size = self.context(n)
-        entry = (size > 0) & (self.count[n - 1] > 0)
-        used = np.flatnonzero(entry | ((size > 0) & ~self.learnt))
-        entries = np.flatnonzero(entry)
-        known, one, where = np.unique(context[used], return_index=True, return_inverse=True)
-        one = used[one]
-        row = np.full(len(context), -1)
-        row[used] = where
-        asked = np.zeros(len(known), bool)
-        asked[where[~self.learnt[used]]] = True
-        hot = size[one] >= self.model.hot
-        low = np.full(len(known), max(self.model.tokens, 1)) if n == 2 else self.before(self.count[n - 2], 0)[one]
-        key, example, inverse = np.unique(row[entries] * len(self.words) + self.rank[self.index[entries]], return_index=True, return_inverse=True)
-        of, example = key // len(self.words), entries[example]
-        home = (_mix(known, known) % np.uint64(buckets)).astype(np.int64)
-        at = np.where(hot[of], (_mix(known[of], self.gram[1][example]) % np.uint64(buckets)).astype(np.int64), home[of])
-        order = np.argsort(at, kind="stable")
-        cells = at * len(known) + of
+        entries = np.flatnonzero((size > 0) & (self.count(n - 1) > 0))
+        asked = np.zeros(len(numbers), bool)
+        asked[context[(size > 0) & ~self.learnt]] = True
+        key, example, which = _distinct(context[entries].astype(np.int64) * len(self.counts[1]) + self.place[1][entries])
+        of, example = key // len(self.counts[1]), entries[example]
+        known = asked.copy()
+        known[of] = True
+        hot = known & (self.counts[n - 1] >= self.model.hot)
+        at = (_mix(numbers, numbers) % np.uint64(buckets)).astype(np.int64)
+        home = np.flatnonzero(known & ~hot)
+        cells = at[of] * len(numbers) + of
+        spread = np.flatnonzero(hot[of])
+        cells[spread] = (_mix(numbers[of[spread]], self.numbers[1][self.place[1][example[spread]]]) % np.uint64(buckets)).astype(np.int64) * len(numbers) + of[spread]
+        order = np.argsort(cells, kind="stable")
         # contexts of each piece: those at home there, and hot ones with an n-gram there
-        pairs = np.unique(np.concatenate([(home * len(known) + np.arange(len(known)))[~hot], cells]))
+        pairs = np.sort(np.concatenate([at[home] * len(numbers) + home, np.unique(cells[spread])]))
+        cells = cells[order]
+        bounds = np.arange(buckets + 1) * len(numbers)
         return SimpleNamespace(
-            known=known, row=row, asked=asked, hot=hot, low=low, entries=entries, example=example, inverse=inverse, order=order,
-            edge=np.searchsorted(at[order], np.arange(buckets + 1)),
-            first=np.searchsorted(pairs, np.arange(buckets + 1) * len(known)),
-            followers=np.diff(np.searchsorted(cells[order], np.append(pairs, np.iinfo(np.int64).max))),
-            cell=pairs % max(len(known), 1),
+            asked=asked, hot=hot, entries=entries, example=example, which=which, order=order, of=of,
+            edge=np.searchsorted(cells, bounds),
+            first=np.searchsorted(pairs, bounds),
+            followers=np.diff(np.searchsorted(cells, np.append(pairs, np.iinfo(np.int64).max))),
+            cell=pairs % max(len(numbers), 1),
         )
 
+    def _below(self, n: int, g: SimpleNamespace) -> np.ndarray:
+        """Training counts of the contexts' own contexts, by place; all tokens for order 2."""
+        if n == 2:
+            return np.full(len(self.counts[1]), max(self.model.tokens, 1))
+        place, _ = self.context(n)
+        low = np.ones(len(self.counts[n - 1]), np.int64)
+        there = place >= 0
+        low[place[there]] = self.before(self.count(n - 2), 0)[there]
+        return low
+
     def ask(self, n: int) -> Iterator[tuple[int, bytes]]:
         """(bucket, blob) of the questions of order n."""
         if n == 1:
@@ -263,58 +294,75 @@ class Block:
                 yield b, _pack(_steps(self.words[own]), times[own])
             return
         g = self._grams(n)
-        times = np.bincount(g.inverse, self.learnt[g.entries], len(g.example)).astype(np.int64)
-        word, below = self.gram[1][g.example], self.count[n - 1][g.example]
+        times = np.bincount(g.which[self.learnt[g.entries]], minlength=len(g.example))
+        word, below = self.numbers[1][self.place[1][g.example]], self.count(n - 1)[g.example]
+        low, numbers = self._below(n, g), self.numbers[n - 1]
         for b in np.flatnonzero(np.diff(g.first)).tolist():
             own, mine = g.order[g.edge[b] : g.edge[b + 1]], slice(g.first[b], g.first[b + 1])
             c = g.cell[mine]
-            yield b, _pack(_steps(g.known[c]), g.followers[mine], g.asked[c] + 2 * g.hot[c], g.low[c], word[own], times[own], below[own])
+            yield b, _pack(_steps(numbers[c]), g.followers[mine], g.asked[c] + 2 * g.hot[c], low[c][g.hot[c]], word[own], times[own], below[own])
+
+    def _placed(self, n: int, place: np.ndarray, count: np.ndarray, number: np.ndarray) -> None:
+        """Keep counts and numbers in the order of the numbers; the context before all texts leads the words."""
+        order = np.argsort(number, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        lead = [self.model.starts], [BEGIN]
+        self.counts[n] = np.concatenate([lead[0], count[order]]) if n == 1 else count[order]
+        self.numbers[n] = np.concatenate([lead[1], number[order]]) if n == 1 else number[order]
+        self.place[n] = rank[place] + 1 if n == 1 else np.where(place >= 0, rank[place], -1).astype(np.int32) if len(rank) else place
 
     def hear(self, n: int) -> None:
         """Take the answers of order n."""
         answers = _rows(f"{self.model.path}/answers{n}", self.number)
         if n == 1:
             order, edge = self._words()
-            count, gram = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
+            count, number = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
             for b, blob in answers:
                 own = order[edge[b] : edge[b + 1]]
-                count[own], gram[own] = _unpack(blob)
-            self.count[1], self.gram[1] = count[self.index], gram[self.index]
-            self.rank = np.empty(len(gram), np.int64)
-            self.rank[np.argsort(gram, kind="stable")] = np.arange(len(gram))
+                count[own], number[own] = _unpack(blob)
+            self._placed(1, self.index, count, number)
             return
-        g = self._grams(n)
-        count, gram = np.zeros(len(g.order), np.int64), np.zeros(len(g.order), np.int64)
-        weight = np.full(len(g.known), np.nan)
+        g, last = self._grams(n), n == self.model.order
+        count, number = np.zeros(len(g.order), np.int64), np.zeros(len(g.order), np.int64)
+        weight, low = np.full(len(g.asked), np.nan), self._below(n, g)
         for b, blob in answers:
-            c, number, *sums, mass = _unpack(blob)
+            c, steps, *sums, mass = _unpack(blob)
             own = g.order[g.edge[b] : g.edge[b + 1]]
-            count[own], gram[own] = c, np.cumsum(number) * self.model.buckets + b
+            count[own] = c
+            if not last:
+                number[own] = np.cumsum(steps) * self.model.buckets + b
             mine = g.cell[g.first[b] : g.first[b + 1]]
             mine = mine[g.asked[mine] & ~g.hot[mine]]
-            weight[mine] = log_weight(np.stack(sums), mass / g.low[mine], self.model.tables[n])
-        self.count[n], self.gram[n] = np.zeros(len(self.index), np.int64), np.zeros(len(self.index), np.int64)
-        self.count[n][g.entries], self.gram[n][g.entries] = count[g.inverse], gram[g.inverse]
-        self.weight[n] = np.where(g.row >= 0, weight[g.row], np.nan) if len(weight) else np.full(len(self.index), np.nan)
+            weight[mine] = log_weight(np.stack(sums), mass / low[mine], self.model.tables[n])
+        self.weights[n] = weight
+        place = np.full(len(self.first), -1, np.int32)
+        place[g.entries] = g.which
+        if last:
+            self.place[n], self.counts[n] = place, count
+        else:
+            self._placed(n, place, count, number)
 
     def score(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """(known, base, score) per document, and (document, order, context, times) of hot contexts backed off from."""
         model, docs = self.model, len(self.size)
-        one = self.count[1]
+        one = self.count(1)
         known = np.bincount(self.doc[one > 0], minlength=docs)
-        base = np.bincount(self.doc, np.log10((one + 0.1) / (model.tokens + 0.1 * (model.types + 1))), docs)
-        value = np.log10(np.where(one > 0, _discounted(one, model.tables[1]) / max(model.tokens, 1), model.unknown))
-        events = []
+        words = np.log10((self.counts[1] + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
+        base = np.bincount(self.doc, words[self.place[1]], docs)
+        words = np.log10(np.where(self.counts[1] > 0, _discounted(self.counts[1], model.tables[1]) / max(model.tokens, 1), model.unknown))
+        value, events = words[self.place[1]], []
         for n in range(2, model.order + 1):
             context, size = self.context(n)
-            seen = self.count[n] > 0
-            back = (size > 0) & ~seen
-            value[seen] = np.log10(_discounted(self.count[n][seen], model.tables[n]) / size[seen])
-            hot = back & (size >= model.hot)
-            value[back & ~hot] += self.weight[n][back & ~hot]
+            count = self.count(n)
+            seen = np.flatnonzero(count)
+            value[seen] = np.log10(_discounted(count[seen], model.tables[n]) / size[seen])
+            back = np.flatnonzero((size > 0) & (count == 0))
+            hot = size[back] >= model.hot
+            value[back[~hot]] += self.weights[n][context[back[~hot]]]
             if hot.any():
-                pair, times = np.unique(np.stack([self.doc[hot], context[hot]]), axis=1, return_counts=True)
-                events.append((pair[0], np.full(len(times), n), pair[1], times))
+                pair, times = np.unique(np.stack([self.doc[back[hot]], context[back[hot]]]), axis=1, return_counts=True)
+                events.append((pair[0], np.full(len(times), n), self.numbers[n - 1][pair[1]], times))
         return [known, base, np.bincount(self.doc, value, docs)], [np.concatenate(e) for e in zip(*events, strict=True)] if events else []
 
 
@@ -372,14 +420,13 @@ def answer(model: Model, n: int, bucket: int, questions: list[tuple[int, bytes]]
     contexts = [np.cumsum(p[0]) for p in parts]
     context = np.concatenate([np.repeat(c, p[1]) for c, p in zip(contexts, parts, strict=True)])
     word, times, below = (np.concatenate([p[i] for p in parts]) for i in (4, 5, 6))
-    order = np.lexsort((word, context))
-    new = np.r_[True, (context[order][1:] != context[order][:-1]) | (word[order][1:] != word[order][:-1])][: len(order)]
-    start = np.flatnonzero(new)
-    of = np.empty(len(order), np.int64)
-    of[order] = np.cumsum(new) - 1
-    count = np.add.reduceat(times[order], start) if len(start) else np.zeros(0, np.int64)
+    key = word
+    if len(context) * (int(word.max(initial=0)) + 1) >= 2**62:  # too many words for one key
+        key = _distinct(word)[2].astype(np.int64)
+    _, example, of = _distinct(_distinct(context)[2].astype(np.int64) * (int(key.max(initial=0)) + 1) + key)
+    count = np.bincount(of, times, len(example)).astype(np.int64)
     seen = np.flatnonzero(count > 0)
-    lead, c = order[start[seen]], count[seen]
+    lead, c = example[seen], count[seen]
     own, followers = np.unique(context[lead], return_counts=True)
     edge = np.cumsum(followers) - followers
     add = lambda x: np.add.reduceat(x, edge) if len(edge) else x[:0]
@@ -388,11 +435,11 @@ def answer(model: Model, n: int, bucket: int, questions: list[tuple[int, bytes]]
     mass = add(_discounted(below[lead], model.tables[n - 1]))
     yield _found(0, 1, bucket=[bucket], blob=[_pack(_steps(own), followers, word[lead], c, mass.astype(np.float32))])
     yield _statistics(c)
-    every, flags, low = np.concatenate(contexts), np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
+    every, flags, low = (np.concatenate(x) for x in (contexts, [p[2] for p in parts], [p[3] for p in parts]))
     hot, example = np.unique(every[flags >= 2], return_index=True)
     at = np.flatnonzero(np.isin(own, hot))
     if len(at):
-        lows = low[flags >= 2][example][np.searchsorted(hot, own[at])]
+        lows = low[example][np.searchsorted(hot, own[at])]
         yield _found(3, len(at), context=own[at], mass=mass[at], low=lows, **{s: x[at] for s, x in zip(SUMS, sums, strict=True)})
     number = np.cumsum(count > 0) - (count > 0)  # an unseen n-gram has the number of the next, and count 0
     at = 0
@@ -400,7 +447,8 @@ def answer(model: Model, n: int, bucket: int, questions: list[tuple[int, bytes]]
         mine = of[at : at + len(p[4])]
         at += len(p[4])
         asked = np.searchsorted(own, c[p[2] == 1])
-        yield _found(1, 1, block=[block], bucket=[bucket], blob=[_pack(count[mine], _steps(number[mine]), *(x[asked] for x in sums), mass[asked])])
+        steps = _steps(number[mine]) if n < model.order else number[:0]
+        yield _found(1, 1, block=[block], bucket=[bucket], blob=[_pack(count[mine], steps, *(x[asked] for x in sums), mass[asked])])
 
 
 def _round(spark: SparkSession, model: Model, n: int, ids: DataFrame, tasks: int) -> None:
