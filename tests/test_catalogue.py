@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from voxlake.plans import catalogue, modules  # noqa: F401
+from voxlake.plans import agreement, catalogue, modules  # noqa: F401
 
 
 @pytest.fixture(scope="module")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +33,7 @@ def memberships(rows: DataFrame, value: str, centroids: list[float]) -> DataFram
 def affinity(a: Column, b: Column, scale: float, how: str = "gaussian") -> Column:
     """Similarity of two neighbouring values."""
     d = (a - b) / scale
-    return F.exp(-d * d / 2) if how == "gaussian" else 1 / (1 + d * d)
+    return {"gaussian": F.exp(-d * d / 2), "cauchy": 1 / (1 + d * d)}[how]
 
 
 def best_partners(edges: DataFrame, a: str, b: str, weight: str) -> DataFrame:
@@ -61,8 +65,25 @@ def octree(rows: DataFrame, keys: list[str], value: str, levels: int) -> DataFra
 
 
 def covariance(rows: DataFrame, vector: str, n: int) -> DataFrame:
-    """Covariance of the first n components: i, j (i <= j), value. n * (n + 1) / 2 sums in one aggregation."""
-    pairs = [(i, j) for i in range(n) for j in range(i, n)]
-    sums = rows.agg(*[F.covar_pop(F.col(vector)[i], F.col(vector)[j]).alias(f"c{i}_{j}") for i, j in pairs])
-    table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}_{j}").alias("value")) for i, j in pairs])
-    return sums.select(F.explode(table).alias("e")).select("e.*")
+    """Covariance of the first n components: i, j (i <= j), value. Each task sums its vectors' outer products around the
+    first vector it meets; n * n rows a task are merged by pairwise formulas."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, mean, spread = 0, np.zeros(n), np.zeros((n, n))
+        for batch in batches:
+            x = np.array([v[:n] for v in batch.column(0).to_pylist() if v is not None and None not in v[:n] and len(v) >= n], float).reshape(-1, n)
+            if len(x):
+                own = x.mean(axis=0)
+                gap = own - mean
+                total = count + len(x)
+                spread += (x - own).T @ (x - own) + np.outer(gap, gap) * count * len(x) / total
+                mean, count = mean + gap * len(x) / total, total
+        if count:
+            yield pa.RecordBatch.from_arrays([pa.array([count]), pa.array([mean.tolist()]), pa.array([spread.ravel().tolist()])], ["n", "mean", "spread"])
+
+    parts = rows.select(vector).mapInArrow(sums, "n long, mean array<double>, spread array<double>")
+    at = F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("k")
+    flat = parts.select("n", "mean", "spread", at).withColumns({"i": F.floor(F.col("k") / n).cast("int"), "j": (F.col("k") % n).cast("int")}).where("i <= j")
+    a, b = F.col("mean")[F.col("i")], F.col("mean")[F.col("j")]
+    sums_ = flat.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum(F.col("spread")[F.col("k")]).alias("s"), F.sum(F.col("n") * a).alias("a"), F.sum(F.col("n") * b).alias("b"), F.sum(F.col("n") * a * b).alias("ab"))
+    return sums_.select("i", "j", ((F.col("s") + F.col("ab") - F.col("a") * F.col("b") / F.col("n")) / F.col("n")).alias("value"))

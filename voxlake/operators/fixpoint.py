@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from functools import reduce
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,12 +16,14 @@ from . import stencil
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the folder in spark.checkpoint.dir, which executors share; a local one where it is unset."""
+    """Cut lineage through the folder in spark.checkpoint.dir, which executors share. Where it is unset, a local session
+    takes a folder of its own and a cluster is refused."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="fixpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fixpoint-"))
     return df.checkpoint()
 
 
@@ -35,26 +40,79 @@ def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], measure:
     return state
 
 
-def components(mask: DataFrame, keys: list[str], size: tuple[int, ...], connectivity: int = 6) -> DataFrame:
-    """keys and component (the least linear place, x fastest) of a mask's voxels.
+#: Side of the blocks whose parts are labelled in one step.
+BLOCK = 32
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, label) of all ends of edges (a long, b long), the label the least node reachable: neighbours above a node
+    hang on its least neighbour, then those below it, in turns, so rounds grow with the logarithm of a path."""
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    seen = None
+    while True:
+        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if state == seen or not state[0]:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionAll(now.select("b", "b").distinct())
+        seen = state
+        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        hung = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = cut(hung.unionAll(least.select("a", F.col("m").alias("b"))).distinct())
+
 
-    Labels take the least of their neighbours' and then that of the voxel they name, which halves long paths.
+def components(mask: DataFrame, keys: list[str], size: tuple[int, ...], connectivity: int = 6, within: str | None = None) -> DataFrame:
+    """keys and component (the least linear place, x fastest) of a mask's voxels; with `within`, a column of labels, parts
+    of each label.
+
+    Blocks of BLOCK voxels a side are labelled by themselves, a block a task at most; pairs of neighbours across their
+    borders then connect the blocks' parts, so only border voxels meet in joins.
     """
     place, scale = F.lit(0).cast("long"), 1
     for k, n in zip(keys, size, strict=True):
         place, scale = place + F.col(k).cast("long") * scale, scale * n
-    nodes = mask.select(*keys, place.alias("node"))
-    pairs = stencil.stencil(nodes, keys, stencil.neighbours(connectivity, len(keys)), ["node"], ["node"]).select("node", F.col("n_node").alias("other"))
-    pairs = cut(pairs)
-
-    def step(state: DataFrame) -> DataFrame:
-        near = pairs.join(state.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        low = state.join(near, "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label"))
-        jump = low.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        return low.join(jump, "label").select("node", F.least("label", "next").alias("label"))
-
-    done = fixpoint(nodes.select("node", F.col("node").alias("label")), step, lambda s: (s.agg(F.sum("label")).first()[0],))
-    return nodes.join(done, "node").select(*keys, F.col("label").alias("component"))
+    own = F.col(within).cast("long") if within else F.lit(0).cast("long")
+    home = [F.floor(F.col(k) / BLOCK).cast("int").alias(f"_b{i}") for i, k in enumerate(keys)]
+    nodes = mask.select(*[F.col(k).cast("int").alias(k) for k in keys], own.alias("_own"), place.alias("_node"), *home)
+    steps = [o for o in stencil.neighbours(connectivity, len(keys)) if o > (0,) * len(keys)]
+
+    def label(key: tuple, table: pa.Table) -> pa.Table:
+        at = np.stack([table[k].to_numpy() for k in keys], 1)
+        at = at - at.min(axis=0)
+        cube = np.full(at.max(axis=0) + 2, -1)  # one voxel of air on the far sides, which index -1 reaches as well
+        cube[tuple(at.T)] = np.arange(len(at))
+        labels, node = table["_own"].to_numpy(), table["_node"].to_numpy()
+        pairs = []
+        for step in steps:
+            other = cube[tuple((at + step).T)]
+            hit = np.flatnonzero(other >= 0)
+            pairs.append(np.stack([hit, other[hit]]))
+        a, b = np.concatenate(pairs, axis=1)
+        same = labels[a] == labels[b]
+        a, b = a[same], b[same]
+        rank = np.argsort(np.argsort(node))
+        by = np.argsort(node)
+        root = rank.copy()
+        while True:
+            low = np.minimum(root[a], root[b])
+            new = root.copy()
+            np.minimum.at(new, a, low)
+            np.minimum.at(new, b, low)
+            new = np.minimum(new, new[by[new]])
+            if np.array_equal(new, root):
+                break
+            root = new
+        return pa.table({**{k: table[k] for k in keys}, "_own": table["_own"], "_part": pa.array(node[by[root]])})
+
+    schema = ", ".join(f"{k} int" for k in keys) + ", _own long, _part long"
+    parts = cut(nodes.groupBy(*[f"_b{i}" for i in range(len(keys))]).applyInArrow(label, schema))
+    edge = reduce(Column.__or__, [(F.col(k) % BLOCK == 0) | (F.col(k) % BLOCK == BLOCK - 1) for k in keys])
+    rim = parts.where(edge)
+    pairs = stencil.stencil(rim, [*keys, "_own"], [(*o, 0) for o in steps], ["_part"], ["_part"])
+    links = connected(pairs.select(F.col("_part").alias("a"), F.col("n__part").alias("b")))
+    done = parts.join(links, parts["_part"] == links["node"], "left").withColumn("component", F.coalesce("label", "_part"))
+    return done.select(*keys, *([F.col("_own").alias(within)] if within else []), "component")
 
 
 def component_sizes(parts: DataFrame) -> DataFrame:
@@ -109,20 +167,18 @@ def chamfer_distance(grid: DataFrame, keys: list[str], source: Column, weights:
 def diffused(grid: DataFrame, keys: list[str], value: str, rate: float, rounds: int) -> DataFrame:
     """Explicit diffusion over present 6-neighbours: v += rate * (mean of neighbours - v), `rounds` times."""
     state = grid.select(*keys, F.col(value).alias("diffused"))
-    for i in range(rounds):
+    for _ in range(rounds):
         mean = stencil.neighbour_mean(state, keys, "diffused", stencil.neighbours(6, len(keys)))
         state = state.join(mean, keys, "left").select(*keys, (F.col("diffused") + rate * (F.coalesce("mean", "diffused") - F.col("diffused"))).alias("diffused"))
-        if i % 5 == 4:
-            state = cut(state)
+        state = cut(state)
     return state
 
 
 def propagated(grid: DataFrame, keys: list[str], value: str, known: Column, rounds: int) -> DataFrame:
     """Mean of known 26-neighbours carried into unknown voxels, one shell a round; null where nothing arrives."""
     state = grid.select(*keys, F.when(known, F.col(value)).alias("carried"))
-    for i in range(rounds):
+    for _ in range(rounds):
         near = stencil.shifted(state.where("carried is not null"), keys, stencil.neighbours(26, len(keys)), ["carried"]).groupBy(*keys).agg(F.avg("n_carried").alias("near"))
         state = state.join(near, keys, "left").select(*keys, F.coalesce("carried", "near").alias("carried"))
-        if i % 5 == 4:
-            state = cut(state)
+        state = cut(state)
     return state

@@ -80,3 +80,50 @@ def jacobian_volume(deformation: DataFrame, keys: list[str], parts: list[str]) -
     d = [[F.col(f"{p}_{k}") - F.col(p) for k in keys] for p in parts]
     det = d[0][0] * (d[1][1] * d[2][2] - d[1][2] * d[2][1]) - d[0][1] * (d[1][0] * d[2][2] - d[1][2] * d[2][0]) + d[0][2] * (d[1][0] * d[2][1] - d[1][1] * d[2][0])
     return out.select(*keys, det.alias("jacobian"))
+
+
+#: Kinds of deformation fields: shifts from the grid or places, in voxels or in mm.
+FIELDS = ("deformation(voxels)", "deformation(mm)", "mapping(voxels)", "mapping(mm)", "none")
+
+
+def mapping(field: DataFrame, keys: list[str], parts: list[str], kind: str, resolution: tuple[float, ...]) -> DataFrame:
+    """A field of any kind as places in voxels, in columns `parts`; `none` maps every voxel to itself."""
+    if kind not in FIELDS:
+        raise ValueError(f"not a kind of field: {kind}")
+    if kind == "none":
+        return field.select(*keys, *[F.col(k).cast("double").alias(p) for k, p in zip(keys, parts, strict=True)])
+    scaled = [F.col(p) / (r if kind.endswith("(mm)") else 1.0) for p, r in zip(parts, resolution, strict=True)]
+    return field.select(*keys, *[(v + F.col(k) if kind.startswith("deformation") else v).alias(p) for v, k, p in zip(scaled, keys, parts, strict=True)])
+
+
+def sampled_linear(points: DataFrame, at: list[str], image: DataFrame, keys: list[str], values: list[str], ids: list[str]) -> DataFrame:
+    """Several values of an image at the points, weighted over the corners that are present; null where none is. One join
+    serves all values."""
+    corners = [F.struct(*[F.lit(c).alias(k) for k, c in zip(keys, o, strict=True)]) for o in itertools.product((0, 1), repeat=len(keys))]
+    rows = points.select(*ids, *at, F.explode(F.array(*corners)).alias("_c"))
+    base = {k: F.floor(a) for k, a in zip(keys, at, strict=True)}
+    share = [F.when(F.col(f"_c.{k}") == 1, F.col(a) - base[k]).otherwise(1 - (F.col(a) - base[k])) for k, a in zip(keys, at, strict=True)]
+    placed = rows.select(*ids, *[(base[k] + F.col(f"_c.{k}")).cast("int").alias(f"_{k}") for k in keys], reduce(Column.__mul__, share).alias("_w")).where("_w > 0")
+    found = placed.join(image.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(v).alias(f"_v{i}") for i, v in enumerate(values)]), [f"_{k}" for k in keys], "left")
+    weight = F.sum(F.when(F.col("_v0").isNotNull(), F.col("_w")))
+    return found.groupBy(*ids).agg(*[(F.sum(F.col("_w") * F.col(f"_v{i}")) / weight).alias(v) for i, v in enumerate(values)])
+
+
+def chained(first: DataFrame, second: DataFrame, keys: list[str], parts: list[str]) -> DataFrame:
+    """One map that goes through `first` and then `second`, both of places in voxels; voxels that leave the second's grid
+    are left out."""
+    points = first.select(*[F.col(k).alias(f"o_{k}") for k in keys], *[F.col(p).alias(f"at_{p}") for p in parts])
+    ids = [f"o_{k}" for k in keys]
+    found = sampled_linear(points, [f"at_{p}" for p in parts], second, keys, parts, ids).where(F.col(parts[0]).isNotNull())
+    return found.select(*[F.col(i).alias(k) for i, k in zip(ids, keys, strict=True)], *parts)
+
+
+def deformed(image: DataFrame, map_: DataFrame, keys: list[str], parts: list[str], value: str, linear: bool = True) -> DataFrame:
+    """The image under a map of places in voxels; 0 where nothing is sampled."""
+    points = map_.select(*[F.col(k).alias(f"o_{k}") for k in keys], *[F.col(p).alias(f"at_{p}") for p in parts])
+    ids, at = [f"o_{k}" for k in keys], [f"at_{p}" for p in parts]
+    if linear:
+        found = trilinear(points, at, image, keys, value, ids)
+    else:
+        found = nearest(points, at, image, keys, value).select(*ids, F.coalesce("sampled", F.lit(0.0)).alias("sampled"))
+    return found.select(*[F.col(i).alias(k) for i, k in zip(ids, keys, strict=True)], F.col("sampled").alias("deformed"))

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import stencil
+from .fixpoint import cut
+
 
 def legacy_percentile(values: Column, p: float) -> Column:
     """Percentile of a sorted array at position p (n + 1) / 100, clamped to its ends; null for an empty array."""
@@ -18,10 +21,20 @@ def legacy_percentile(values: Column, p: float) -> Column:
 
 
 def ranked_percentiles(rows: DataFrame, keys: list[str], value: str, percents: list[float]) -> DataFrame:
-    """Legacy percentiles per group from ranks: only the two rows around each position are kept, so no group is gathered."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    ranked = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.row_number().over(order).alias("_r"))
-    sized = ranked.join(rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    """Legacy percentiles per group from ranks: only the two rows around each position are kept.
+
+    Rows are dealt by ranges of (group, value, hash), so a large group or a frequent value is ranked in many tasks; the
+    ranges' counts place each task's ranks.
+    """
+    tie = F.xxhash64(F.monotonically_increasing_id())
+    base = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), tie.alias("_t"))
+    dealt = cut(base.repartitionByRange(*keys, "_v", "_t").withColumn("_p", F.spark_partition_id()))
+    counts = dealt.groupBy(*keys, "_p").agg(F.count("*").alias("_c"))
+    group = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_c").over(group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = counts.select(*keys, "_p", before.alias("_from"), F.sum("_c").over(group).alias("_n"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy("_v"))
+    sized = dealt.withColumn("_k", rank).join(places, [*keys, "_p"]).withColumn("_r", F.col("_k") + F.col("_from"))
     out = []
     for p in percents:
         at = F.lit(p / 100.0) * (F.col("_n") + 1)
@@ -154,3 +167,11 @@ def robust_range(rows: DataFrame, value: str, ratio: float, rounds: int, bins: i
             a, b = a + k * width, a + (k + 1) * width
         found.append(a if target < total / 2 else b)
     return rows.sparkSession.createDataFrame([tuple(float(f) for f in found)], "robust_min double, robust_max double")
+
+
+def robust_noise(rows: DataFrame, keys: list[str], value: str, half: float = 19.15) -> DataFrame:
+    """Pairs of 26-neighbours and the range of their differences within `half` percent on both sides of the median, which
+    is the deviation of normal noise. All pairs count, so the result doesn't depend on a sample."""
+    pairs = stencil.stencil(rows, keys, stencil.neighbours(26, len(keys)), [value], [value]).select((F.col(value) - F.col(f"n_{value}")).alias("d"), F.lit(0).alias("_g"))
+    found = ranked_percentiles(pairs, ["_g"], "d", [50 - half, 50 + half])
+    return pairs.groupBy("_g").agg(F.count("*").alias("pairs")).join(found, "_g").select("pairs", (F.col(f"`p{50 + half:g}`") - F.col(f"`p{50 - half:g}`")).alias("noise"))

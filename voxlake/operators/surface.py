@@ -44,11 +44,10 @@ def euler(faces: DataFrame) -> DataFrame:
 def smoothed(vertices: DataFrame, faces: DataFrame, value: str, rate: float, rounds: int) -> DataFrame:
     """Vertex data moved towards the mean of its neighbours, all vertices at once, `rounds` times."""
     links, state = edges(faces), vertices.select("vid", F.col(value).alias("smooth"))
-    for i in range(rounds):
+    for _ in range(rounds):
         near = links.join(state.withColumnRenamed("vid", "nid"), "nid").groupBy("vid").agg(F.avg("smooth").alias("near"))
         state = state.join(near, "vid", "left").select("vid", (F.col("smooth") + rate * (F.coalesce("near", "smooth") - F.col("smooth"))).alias("smooth"))
-        if i % 5 == 4:
-            state = cut(state)
+        state = cut(state)
     return state
 
 

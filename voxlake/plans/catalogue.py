@@ -556,9 +556,9 @@ def octree_levels(spark, d):
 
 
 @query("""SELECT i, j, round(covar_pop(a, b), 9) AS value FROM (SELECT i - 1 AS i, j - 1 AS j, embedding[i]::DOUBLE AS a, embedding[j]::DOUBLE AS b
-  FROM embeddings, (SELECT unnest(range(1, 9))::INT AS i) p, (SELECT unnest(range(1, 9))::INT AS j) q WHERE i <= j) GROUP BY 1, 2""", 9)
+  FROM embeddings, (SELECT unnest(range(1, 65))::INT AS i) p, (SELECT unnest(range(1, 65))::INT AS j) q WHERE i <= j) GROUP BY 1, 2""", 9)
 def vector_covariance(spark, d):
-    return clustering.covariance(profiles(spark, d), "profile", 8)
+    return clustering.covariance(profiles(spark, d), "profile", 64)
 
 
 @query()

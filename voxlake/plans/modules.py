@@ -59,11 +59,9 @@ def global_noise(spark, d):
 
 
 @query("""SELECT label, (i - 1)::INT AS layer, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std
-  FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 3 = 0) GROUP BY 1, 2""")
+  FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2""")
 def roi_averages(spark, d):
-    p = profiles(spark, d)
-    roi = p.select("vec_id").where("vec_id % 3 = 0")
-    return laminar.mean_profile(p.join(roi, "vec_id", "left_semi"), "label").withColumnRenamed("depth", "layer")
+    return laminar.mean_profile(profiles(spark, d), "label").withColumnRenamed("depth", "layer")
 
 
 @query("""WITH $VOX SELECT x, y, z, round(0.5 + 0.5 * least(greatest(-(v - 37000) / 2000, -1), 1), 9) AS p FROM vox""", 9)
@@ -244,7 +242,7 @@ def half_normal_background(spark, d):
 @query()
 def shape_components(spark, d):
     p = profiles(spark, d)
-    mean, variances, axes = shape.principal_components(p, "profile", 16, 3)
+    mean, variances, axes = shape.principal_components(p, "profile", 64, 3)
     return shape.projected(p, ["vec_id"], "profile", mean, axes)
 
 
