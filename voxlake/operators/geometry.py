@@ -127,3 +127,29 @@ def deformed(image: DataFrame, map_: DataFrame, keys: list[str], parts: list[str
     else:
         found = nearest(points, at, image, keys, value).select(*ids, F.coalesce("sampled", F.lit(0.0)).alias("sampled"))
     return found.select(*[F.col(i).alias(k) for i, k in zip(ids, keys, strict=True)], F.col("sampled").alias("deformed"))
+
+
+def orientation(matrix: np.ndarray) -> list[tuple[int, int]]:
+    """(world axis, direction 1 or -1) nearest to each voxel axis of an affine map, each world axis once: the strongest
+    entries of the map's rotation decide first."""
+    columns = matrix[:3, :3] / np.maximum(np.linalg.norm(matrix[:3, :3], axis=0), 1e-12)
+    u, _, v = np.linalg.svd(columns)
+    turn = u @ v
+    out: list[tuple[int, int]] = [(0, 1)] * 3
+    left = np.abs(turn)
+    for _ in range(3):
+        world, axis = np.unravel_index(np.argmax(left), left.shape)
+        out[axis] = (int(world), 1 if turn[world, axis] >= 0 else -1)
+        left[world, :], left[:, axis] = -1, -1
+    return out
+
+
+def axis_codes(matrix: np.ndarray) -> tuple[str, str]:
+    """Letters towards which the voxel axes run (R or L, A or P, S or I), and the plane of the slices."""
+    letters = "".join(("LR", "PA", "IS")[world][direction > 0] for world, direction in orientation(matrix))
+    return letters, {"I": "AXIAL", "S": "AXIAL", "L": "SAGITTAL", "R": "SAGITTAL"}.get(letters[2], "CORONAL")
+
+
+def scanner_transform(source: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Map from voxels of the source to voxels of the target through the scanner's space."""
+    return np.linalg.inv(target) @ source

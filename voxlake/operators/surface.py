@@ -67,3 +67,8 @@ def height_mesh(columns: DataFrame, x: str, y: str, height: str, nx: int) -> tup
     low = here.select((F.col("vid") * 2).alias("fid"), F.col("vid").alias("v0"), F.col("r").alias("v1"), F.col("d").alias("v2"))
     high = here.select((F.col("vid") * 2 + 1).alias("fid"), F.col("vid").alias("v0"), F.col("d").alias("v1"), F.col("u").alias("v2"))
     return vertices, low.unionAll(high)
+
+
+def copied(vertices: DataFrame, other: DataFrame, data: str) -> DataFrame:
+    """vertices with the data of the matching vertices of another mesh; null where it has none."""
+    return vertices.drop(data).join(other.select("vid", data), "vid", "left")
