@@ -89,6 +89,11 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col(quoted(c)) for c in df.columns]
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named by number, as mapInArrow does not take names with dots."""
+    return df.toDF(*map(str, range(len(df.columns))))
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, drop_path, fresh, new_path, read_table, store
+from .common import columns, drop_path, fresh, new_path, numbered, read_table, store
 
 #: Edits allowed per character of an item. At this rate pieces have some 12 characters, which ordinary prose seldom hits.
 RATE = 0.08
@@ -201,9 +201,9 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, blo
             items = Items(block, rate)
             for batch in batches:
                 clean = [next(items.find(normalize(t or "")), None) is None for t in batch.column(batch.num_columns - 1).to_pylist()]
-                yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(clean, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], schema.names).filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.select(*columns_of, F.col("text").cast("string").alias(fresh("text", docs))).mapInArrow(run, schema)
+        docs = numbered(docs.select(*columns_of, F.col("text").cast("string").alias(fresh("text", docs)))).mapInArrow(run, schema)
     return docs
 
 

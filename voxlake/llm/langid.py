@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns, fold, fresh, quoted, read_table
+from .common import columns, fold, fresh, numbered, quoted, read_table
 
 DIMENSIONS, LETTERS = 1024, 3
 SEED = 20_240_131
@@ -214,7 +214,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(score)], fields.names)
 
     text = F.col("text").cast("string").alias(fresh("text", kept))
-    return docs.select(*columns(kept), text).mapInArrow(run, fields)
+    return numbered(docs.select(*columns(kept), text)).mapInArrow(run, fields)
 
 
 def in_a_language(docs: DataFrame, learn: Column) -> DataFrame:

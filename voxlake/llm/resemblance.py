@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import columns, extended, fresh, hot_join, store
+from .common import columns, extended, fresh, hot_join, numbered, store
 from .components import connected_components
 
 WORDS, RECALL = 4, 0.99
@@ -314,7 +314,7 @@ def with_node(docs: DataFrame, name: str) -> DataFrame:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             node = np.fromiter((xxhash.xxh64_intdigest(b" ".join(w), 1) if (w := (t or b"").lower().split()) else 0 for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(node.view(np.int64))], [*batch.schema.names[:-1], name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(node.view(np.int64))], schema.names)
 
     schema = extended(docs, f"{name} long")
-    return docs.select(*columns(docs), F.col("text").cast("binary").alias(fresh("text", docs))).mapInArrow(run, schema)
+    return numbered(docs.select(*columns(docs), F.col("text").cast("binary").alias(fresh("text", docs)))).mapInArrow(run, schema)
