@@ -185,3 +185,16 @@ def test_very_long_texts(spark, table):
     sizes = {r.doc_id: r[1] for r in packing.op8_pattern_packing(spark, folder).groupBy("doc_id").sum("length").collect()}
     library = Tokenizer.from_file(bpe.default_vocabulary()[0])
     assert sizes == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t, _ in rows}
+
+
+def test_kept_trees_take_edits_round_after_round(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("length(text) < 20000 or text is null").unionByName(spark.createDataFrame([(None, None), (7, "")], "doc_id long, text string"), allowMissingColumns=True)
+    kept = recount.trees(docs)
+    library = Tokenizer.from_file(bpe.default_vocabulary()[0])
+    library.encode_special_tokens = True
+    for _ in range(3):
+        kept = recount.edited(kept, recount.fixed_edits(F.col("doc_id"), F.col("text")))
+    rows = kept.collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert r.tokens == sum(x.tokens for x in r.leaves) == len(library.encode(r.text, add_special_tokens=False).ids)

@@ -27,12 +27,22 @@ _BORDER = re.compile(r"(?<=\S) ")
 class TokenTree:
     """Characters and tokens of a text's leaves under a binary tree of sums."""
 
-    def __init__(self, text: str, coder: bpe.BytePairs) -> None:
+    def __init__(self, text: str, coder: bpe.BytePairs, leaves: list[tuple[int, int]] | None = None) -> None:
+        """A tree built from a text, or from its kept leaves (characters, tokens), which needs no encoding."""
         self.coder = coder
         self.encoded = 0  # characters encoded so far, by edits after the first build
-        self._build(self._leaves(text))
+        if leaves is None:
+            self._build(self._leaves(text))
+        else:
+            ends = np.cumsum([n for n, _ in leaves]).tolist()
+            self._build([(text[b - n : b], tokens) for b, (n, tokens) in zip(ends, leaves, strict=True)])
         self.encoded = 0
 
+    @property
+    def leaves(self) -> list[tuple[int, int]]:
+        """Characters and tokens of each leaf, from which the tree can be built again."""
+        return [(self.chars[self.base + i], self.tokens[self.base + i]) for i in range(len(self.texts))]
+
     def _leaves(self, text: str) -> list[tuple[str, int]]:
         out, at = [], 0
         while at < len(text):
@@ -114,6 +124,52 @@ class TokenTree:
             self._build(known[:low] + leaves + known[high + 1 :])
 
 
+TREE = "doc_id long, text string, leaves array<struct<chars:long,tokens:long>>, tokens long"
+_EDITS = "array<struct<start:long,stop:long,put:string>>"
+
+
+def _applied(tree: TokenTree, changes: list[dict] | None) -> None:
+    for change in changes or []:
+        if change and change["start"] is not None and change["stop"] is not None:
+            tree.edit(change["start"], change["stop"], change["put"] or "")
+
+
+def trees(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
+    """doc_id, text, leaves and tokens of docs(doc_id, text): each document's tree, to be kept as a table. A null text is
+    empty and has no leaves; repeated rows have a tree each."""
+    path, pattern = vocabulary or bpe.default_vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = bpe.load(path, pattern)
+        for batch in batches:
+            yield _kept(batch.column(0), [TokenTree(t or "", coder) for t in batch.column(1).to_pylist()])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, TREE)
+
+
+def edited(kept: DataFrame, edits: Column, vocabulary: tuple[str, str] | None = None) -> DataFrame:
+    """Trees of `trees` after `edits`, again as such a table: only what the edits touch is encoded."""
+    path, pattern = vocabulary or bpe.default_vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = bpe.load(path, pattern)
+        for batch in batches:
+            found = []
+            for text, leaves, changes in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                tree = TokenTree(text or "", coder, [(x["chars"], x["tokens"]) for x in leaves])
+                _applied(tree, changes)
+                found.append(tree)
+            yield _kept(batch.column(0), found)
+
+    return kept.select("doc_id", "text", "leaves", edits.cast(_EDITS).alias("edits")).mapInArrow(run, TREE)
+
+
+def _kept(doc_ids: pa.Array, found: list[TokenTree]) -> pa.RecordBatch:
+    leaf = pa.list_(pa.struct([("chars", pa.int64()), ("tokens", pa.int64())]))
+    leaves = pa.array([[{"chars": c, "tokens": n} for c, n in t.leaves] for t in found], leaf)
+    return pa.RecordBatch.from_arrays([doc_ids, pa.array([t.text for t in found], pa.string()), leaves, pa.array([t.count for t in found], pa.int64())], ["doc_id", "text", "leaves", "tokens"])
+
+
 def recount(docs: DataFrame, edits: Column, vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """doc_id, tokens_before, tokens_after, chars_after, encoded_chars of docs(doc_id, text) under `edits`, a column of
     arrays of (start, stop, put) that apply one after another to the text as it then is.
@@ -131,14 +187,12 @@ def recount(docs: DataFrame, edits: Column, vocabulary: tuple[str, str] | None =
             for doc_id, text, changes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tree = TokenTree(text or "", coder)
                 before = tree.count
-                for change in changes or []:
-                    if change and change["start"] is not None and change["stop"] is not None:
-                        tree.edit(change["start"], change["stop"], change["put"] or "")
+                _applied(tree, changes)
                 rows.append((doc_id, before, tree.count, tree.chars[1], tree.encoded))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
-    shaped = edits.cast("array<struct<start:long,stop:long,put:string>>").alias("edits")
+    shaped = edits.cast(_EDITS).alias("edits")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), shaped)
     return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
