@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import itertools
 import math
+import warnings
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,29 +73,95 @@ def boundary(rows: DataFrame, keys: list[str], label: str, connectivity: int = 6
     return pairs.where(F.col(label) != F.col(f"n_{label}")).select(*keys, label).distinct()
 
 
+#: Side of the blocks that are filtered in one step.
+BLOCK = 32
+Cube = np.ndarray
+
+
+def by_block(rows: DataFrame, keys: list[str], value: str, radius: int, outputs: dict[str, str], kernel: Callable[[Cube, Callable], dict[str, np.ndarray]]) -> DataFrame:
+    """keys and outputs of a kernel over blocks of voxels with a halo of `radius`; absent voxels are NaN.
+
+    A voxel travels to its block and to those whose halo holds it, so inner voxels travel once. kernel(cube, shift) gets a
+    block's values with its halo and a function of an offset that gives the block's neighbours there; it returns arrays
+    over the block, of which those at present voxels that are not NaN in the first output become rows.
+    """
+    near = rows.select(*[F.col(k).cast("int").alias(k) for k in keys], F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    for i, k in enumerate(keys):
+        blocks = F.sequence(F.floor((F.col(k) - radius) / BLOCK).cast("int"), F.floor((F.col(k) + radius) / BLOCK).cast("int"))
+        near = near.withColumn(f"_b{i}", F.explode(blocks))
+    schema = ", ".join([*(f"{k} int" for k in keys), *(f"{name} {kind}" for name, kind in outputs.items())])
+    kinds = {"double": pa.float64(), "long": pa.int64()}
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        low = np.array([k.as_py() * BLOCK for k in key])
+        at = np.stack([table[k].to_numpy() for k in keys], 1) - low
+        cube = np.full((BLOCK + 2 * radius,) * len(keys), np.nan)
+        cube[tuple((at + radius).T)] = table["_v"].to_numpy()
+        own = at[((at >= 0) & (at < BLOCK)).all(axis=1)]
+
+        def shift(offset: tuple[int, ...]) -> Cube:
+            return cube[tuple(slice(radius + o, radius + o + BLOCK) for o in offset)]
+
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)  # neighbourhoods without a voxel
+            found = kernel(cube, shift)
+        values = {name: found[name][tuple(own.T)] for name in outputs}
+        kept = ~np.isnan(next(iter(values.values())).astype(float))
+        places = {k: pa.array((own[kept, i] + low[i]).astype(np.int32)) for i, k in enumerate(keys)}
+        return pa.table(places | {name: pa.array(v[kept].astype(np.float64 if outputs[name] == "double" else np.int64), kinds[outputs[name]]) for name, v in values.items()})
+
+    return near.groupBy(*[f"_b{i}" for i in range(len(keys))]).applyInArrow(run, schema)
+
+
+def _reach(offsets: Offsets) -> int:
+    return max(max(map(abs, o)) for o in offsets)
+
+
 def neighbour_mean(rows: DataFrame, keys: list[str], value: str, offsets: Offsets) -> DataFrame:
     """Mean over the present neighbours, of each voxel that has one."""
-    return stencil(rows, keys, offsets, [value], []).groupBy(*keys).agg(F.avg(f"n_{value}").alias("mean"), F.count("*").alias("n"))
 
+    def kernel(cube: Cube, shift: Callable) -> dict[str, np.ndarray]:
+        total, n = 0.0, 0
+        for o in offsets:
+            there = shift(o)
+            known = ~np.isnan(there)
+            total, n = total + np.where(known, there, 0.0), n + known
+        return {"mean": np.where(n > 0, total / np.maximum(n, 1), np.nan), "n": n}
+
+    return by_block(rows, keys, value, _reach(offsets), {"mean": "double", "n": "long"}, kernel)
 
 def neighbour_rank(rows: DataFrame, keys: list[str], value: str, offsets: Offsets) -> DataFrame:
     """Least, median and greatest value of each voxel's neighbourhood, the voxel included."""
-    pairs = shifted(rows, keys, [*offsets, (0,) * len(keys)], [value]).join(rows.select(*keys), keys, "left_semi")
-    return pairs.groupBy(*keys).agg(F.min(f"n_{value}").alias("least"), F.percentile(f"n_{value}", 0.5).alias("median"), F.max(f"n_{value}").alias("most"))
+
+    def kernel(cube: Cube, shift: Callable) -> dict[str, np.ndarray]:
+        every = np.stack([shift(o) for o in [*offsets, (0,) * len(keys)]])
+        return {"least": np.nanmin(every, axis=0), "median": np.nanmedian(every, axis=0), "most": np.nanmax(every, axis=0)}
+
+    return by_block(rows, keys, value, _reach(offsets), {"least": "double", "median": "double", "most": "double"}, kernel)
+
+def _unit(i: int, n: int, sign: int) -> tuple[int, ...]:
+    return tuple(sign if j == i else 0 for j in range(n))
 
 
 def gradient(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Central differences per axis and the gradient's norm, of voxels with all axis neighbours."""
-    pairs = stencil(rows, keys, neighbours(6, len(keys)), [value], [])
-    parts = {f"g{k}": F.sum(F.col(f"n_{value}") * F.col(f"d{k}")) / 2 for k in keys}
-    sums = pairs.groupBy(*keys).agg(F.count("*").alias("_n"), *[e.alias(k) for k, e in parts.items()]).where(F.col("_n") == 2 * len(keys))
-    return sums.select(*keys, *parts, F.sqrt(reduce(Column.__add__, [F.col(p) * F.col(p) for p in parts])).alias("norm"))
+    n = len(keys)
 
+    def kernel(cube: Cube, shift: Callable) -> dict[str, np.ndarray]:
+        parts = {f"g{k}": (shift(_unit(i, n, 1)) - shift(_unit(i, n, -1))) / 2 for i, k in enumerate(keys)}
+        norm = np.sqrt(sum(p * p for p in parts.values()))
+        return {k: np.where(np.isnan(norm), np.nan, p) for k, p in parts.items()} | {"norm": norm}
+
+    return by_block(rows, keys, value, 1, {**{f"g{k}": "double" for k in keys}, "norm": "double"}, kernel)
 
 def laplacian(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    pairs = stencil(rows, keys, neighbours(6, len(keys)), [value], [value])
-    return pairs.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(F.col(f"n_{value}") - F.col(value)).alias("laplacian")).where(F.col("_n") == 2 * len(keys)).drop("_n")
+    """Sum of differences to the axis neighbours, of voxels with all of them."""
+    steps = neighbours(6, len(keys)) if len(keys) == 3 else [_unit(i, len(keys), s) for i in range(len(keys)) for s in (-1, 1)]
+
+    def kernel(cube: Cube, shift: Callable) -> dict[str, np.ndarray]:
+        return {"laplacian": sum(shift(o) for o in steps) - len(steps) * shift((0,) * len(keys))}
 
+    return by_block(rows, keys, value, 1, {"laplacian": "double"}, kernel)
 
 def boundary_gradient(rows: DataFrame, keys: list[str], label: str, value: str) -> DataFrame:
     """Mean difference, and mean absolute difference, to 26-neighbours of another label, per label."""
@@ -117,13 +187,23 @@ def convolved(rows: DataFrame, keys: list[str], axis: str, value: str, kernel: l
 
 
 def smoothed(rows: DataFrame, keys: list[str], value: str, sigma: float) -> DataFrame:
-    """Separable masked Gaussian over all axes."""
-    out, now = rows.select(*keys, F.col(value).alias("smooth0")), "smooth0"
-    for i, axis in enumerate(keys):
-        out = convolved(out, keys, axis, now, gaussian_kernel(sigma), f"smooth{i + 1}").drop(now)
-        now = f"smooth{i + 1}"
-    return out.withColumnRenamed(now, "smooth")
-
+    """Separable masked Gaussian over all axes: along each, the weighted mean of the present voxels."""
+    weights = gaussian_kernel(sigma)
+    half = len(weights) // 2
+
+    def kernel(cube: Cube, shift: Callable) -> dict[str, np.ndarray]:
+        known = ~np.isnan(cube)
+        now = np.where(known, cube, 0.0)
+        for axis in range(cube.ndim):
+            size = cube.shape[axis] - 2 * half
+            part = lambda x, d, axis=axis, size=size: np.take(x, range(half + d, half + d + size), axis)
+            total = sum(w * part(now, d) for d, w in zip(range(-half, half + 1), weights, strict=True))
+            mass = sum(w * part(known, d) for d, w in zip(range(-half, half + 1), weights, strict=True))
+            known = part(known, 0)
+            now = np.where(known, total / np.maximum(mass, 1e-300), 0.0)
+        return {"smooth": np.where(known, now, np.nan)}
+
+    return by_block(rows, keys, value, half, {"smooth": "double"}, kernel)
 
 def moving(rows: DataFrame, line: list[str], axis: str, value: str, radius: int) -> DataFrame:
     """Moving mean along one axis by a range window, which skips absent voxels."""
@@ -133,13 +213,14 @@ def moving(rows: DataFrame, line: list[str], axis: str, value: str, radius: int)
 
 def ridge(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Strongest second difference over the 13 directions of a 26-neighbourhood, of voxels with all neighbours."""
-    pairs = stencil(rows, keys, neighbours(26), [value], [value])
-    half = F.greatest(*[F.lit(0)] * 2)
-    first = reduce(lambda c, k: F.when(F.col(f"d{k}") != 0, F.col(f"d{k}")).otherwise(c), reversed(keys), half)
-    way = F.concat_ws(",", *[(F.col(f"d{k}") * first).cast("string") for k in keys])
-    line = pairs.groupBy(*keys, value, way.alias("way")).agg(F.count("*").alias("_n"), (F.col(value) - F.avg(f"n_{value}")).alias("score")).where("_n = 2")
-    return line.groupBy(*keys).agg(F.count("*").alias("_n"), F.max("score").alias("bright"), F.min("score").alias("dark")).where("_n = 13").drop("_n")
+    ahead = [o for o in neighbours(26, len(keys)) if o > (0,) * len(keys)]
+
+    def kernel(cube: Cube, shift: Callable) -> dict[str, np.ndarray]:
+        here = shift((0,) * len(keys))
+        every = np.stack([here - (shift(o) + shift(tuple(-d for d in o))) / 2 for o in ahead])
+        return {"bright": every.max(axis=0), "dark": every.min(axis=0)}
 
+    return by_block(rows, keys, value, 1, {"bright": "double", "dark": "double"}, kernel)
 
 def tensor_products(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Outer product of the gradient per voxel."""
