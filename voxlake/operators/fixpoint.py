@@ -115,15 +115,25 @@ def components(mask: DataFrame, keys: list[str], size: tuple[int, ...], connecti
     return done.select(*keys, *([F.col("_own").alias(within)] if within else []), "component")
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their place from 1 in an order, which must tell all rows apart: ranges of rows are numbered by
+    themselves, after the rows of the ranges before them."""
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    up = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    before = dealt.groupBy("_p").agg(F.count("*").alias("_c")).select("_p", F.coalesce(F.sum("_c").over(up), F.lit(0)).alias("_from"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return dealt.withColumn("_k", place).join(before, "_p").withColumn(name, (F.col("_k") + F.col("_from")).cast("int")).drop("_p", "_k", "_from")
+
+
 def component_sizes(parts: DataFrame) -> DataFrame:
     """component, voxels and rank by size, the largest first."""
     sizes = parts.groupBy("component").agg(F.count("*").alias("voxels"))
-    return sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("voxels"), "component")))
+    return numbered(sizes, [F.desc("voxels"), F.col("component")], "rank").select("component", "voxels", "rank")
 
 
 def largest(parts: DataFrame, n: int = 1) -> DataFrame:
     best = parts.groupBy("component").agg(F.count("*").alias("voxels")).orderBy(F.desc("voxels"), "component").limit(n)
-    return parts.join(F.broadcast(best.select("component")), "component", "left_semi")  # n rows
+    return parts.join(best.select("component"), "component", "left_semi")
 
 
 def filled(mask: DataFrame, grid: DataFrame, keys: list[str], size: tuple[int, ...], connectivity: int = 6) -> DataFrame:
