@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from voxlake.llm import bpe, decontam, katz, langid, packing, pii, recount, simhash
+from voxlake.llm import bpe, decontam, katz, langid, packing, pii, recount, sharding, simhash
 
 from .conftest import ODD
 
@@ -198,3 +198,23 @@ def test_kept_trees_take_edits_round_after_round(spark, data):
     assert len(rows) == docs.count()
     for r in rows:
         assert r.tokens == sum(x.tokens for x in r.leaves) == len(library.encode(r.text, add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("hot", [10**9, 40])
+def test_slots_of_repeated_keys_are_gapless_and_in_order(spark, hot, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT_ROWS", hot)
+    rows = [(i % 700, f"t{i}") for i in range(2000)] + [(5, "same")] * 300 + [(None, f"n{i}") for i in range(200)] + [(33, f"u{i}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "id long, sub string").repartition(7)
+    got = sharding.assign(docs, "id", 4, ["id"], sub_buckets=3).collect()
+    assert sorted((str(r.id), r["sub"]) for r in got) == sorted((str(i), t) for i, t in rows)
+    by_shard, home = defaultdict(list), defaultdict(set)
+    for r in got:
+        by_shard[r.shard].append(r)
+        home[r.id].add(r.shard)
+        assert r.grown_shard in (r.shard, 4)
+    assert all(len(s) == 1 for s in home.values())
+    for own in by_shard.values():
+        own.sort(key=lambda r: r.slot)
+        assert [r.slot for r in own] == list(range(len(own)))
+        runs = [i for n, i in enumerate(r.id for r in own) if n == 0 or own[n - 1].id != i]
+        assert len(runs) == len(set(runs))  # rows of a key are neighbours

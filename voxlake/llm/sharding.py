@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import HOT_ROWS, PARTS, columns, fresh, read_table, store
 
 #: Slots are dealt per shard and sub-bucket, so no task ranks a whole shard; the table of offsets has
 #: shards x SUB_BUCKETS rows at most.
@@ -55,27 +57,46 @@ def assign(docs: DataFrame, key: str, shards: int, ties: list[str], sub_buckets:
     A row's shard depends on its key and the shard count alone, so all rows of a key share a shard and one
     more shard takes rows only into itself. Null keys hash as an empty text. Slots order by a sub-bucket of
     `ties`, then by `ties`; rows equal in all of them take neighbouring slots in any order. An empty table
-    gives an empty result. Only counts per shard and sub-bucket are broadcast (shards x sub_buckets rows).
+    gives an empty result. Only counts per shard and sub-bucket are broadcast (shards x sub_buckets rows), and
+    groups of rows equal in `ties` that are hot: PARTS at most. Such a group is one row in the order of its
+    sub-bucket, and its own rows are numbered in many tasks.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
-    placed = docs.withColumns(
-        {
-            "shard": shard_of(F.col(key), shards),
-            "grown_shard": shard_of(F.col(key), shards + 1),
-            "_sub": (stable_key(F.concat_ws("/", *ties)) % sub_buckets).cast("int"),
-        }
-    )
-    counts = placed.groupBy("shard", "_sub").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    rank = F.row_number().over(Window.partitionBy("shard", "_sub").orderBy(*ties))
-    return (
-        placed.withColumn("_rank", rank)
-        .join(F.broadcast(offsets), ["shard", "_sub"])
-        .withColumn("slot", F.col("_from") + F.col("_rank") - 1)
-        .drop("_sub", "_rank", "_from")
-    )
+    sub, uid, n, start, slot_in, chunk, group = (fresh(x, docs) for x in ("sub", "uid", "n", "start", "within", "chunk", "group"))
+    places = {
+        "shard": shard_of(F.col(key), shards),
+        "grown_shard": shard_of(F.col(key), shards + 1),
+        sub: (stable_key(F.concat_ws("/", *ties)) % sub_buckets).cast("int"),
+        uid: F.monotonically_increasing_id(),
+    }
+    placed = store(docs.withColumns(places), "placed")
+    total = placed.count()
+    counts = placed.groupBy("shard", sub).agg(F.count("*").alias(n))
+    before = Window.partitionBy("shard").orderBy(sub).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = F.broadcast(counts.select("shard", sub, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start)))
+    hot = placed.groupBy("shard", sub, *ties).agg(F.count("*").alias(n)).where(F.col(n) >= max(HOT_ROWS, total // PARTS))
+    hot = store(hot.withColumn(group, F.monotonically_increasing_id()), "hot-keys")
+    order = Window.partitionBy("shard", sub).orderBy(*ties)
+    if hot.isEmpty():
+        ranked = placed.withColumn(slot_in, F.row_number().over(order) - 1)
+    else:
+        same = reduce(Column.__and__, [placed[t].eqNullSafe(hot[t]) for t in ties])
+        rest = placed.join(F.broadcast(hot.select(*ties)), same, "left_anti").withColumn(n, F.lit(1).cast("long"))
+        both = rest.unionByName(hot, allowMissingColumns=True)
+        led = both.withColumn(slot_in, F.coalesce(F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        led = store(led, "ranked")
+        heads = F.broadcast(led.where(F.col(group).isNotNull()).select(group, F.col(slot_in).alias(f"{slot_in}_")))
+        rows = placed.join(F.broadcast(hot.select(*[F.col(t).alias(f"{t}_hot") for t in ties], group)), reduce(Column.__and__, [F.col(t).eqNullSafe(F.col(f"{t}_hot")) for t in ties]))
+        rows = rows.drop(*[f"{t}_hot" for t in ties]).withColumn(chunk, F.shiftright(uid, 16))
+        up = Window.partitionBy(group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+        chunks = rows.groupBy(group, chunk).agg(F.count("*").alias(n)).select(group, chunk, F.coalesce(F.sum(n).over(up), F.lit(0)).alias(n))
+        own = F.row_number().over(Window.partitionBy(group, chunk).orderBy(uid)) - 1
+        rows = rows.withColumn(f"{chunk}_", own).join(chunks, [group, chunk]).join(heads, group)
+        rows = rows.withColumn(slot_in, F.col(f"{slot_in}_") + F.col(n) + F.col(f"{chunk}_"))
+        ranked = led.where(F.col(group).isNull()).select(*placed.columns, slot_in).unionByName(rows.select(*placed.columns, slot_in))
+    found = ranked.join(offsets, ["shard", sub]).withColumn("slot", F.col(start) + F.col(slot_in))
+    return found.select(*columns(docs), "shard", "grown_shard", "slot")
 
 
 def op4_jump_shards(spark: SparkSession, sf_dir: str, shards: int = 16) -> DataFrame:
