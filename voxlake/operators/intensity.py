@@ -89,28 +89,40 @@ def histogram_matching(source: DataFrame, target: DataFrame, value: str, bins: i
     return s.join(F.broadcast(t), F.round("reach", 12) >= F.round("cdf", 12)).groupBy("bin", "n").agg(F.min("to").alias("matched"))
 
 
-def background_em(rows: DataFrame, value: str, model: str = "exponential", rounds: int = 50, tolerance: float = 1e-4) -> DataFrame:
-    """Background mean and foreground share by EM on intensities scaled to 0..1.
+def background_density(v: Column, mean: float, model: str) -> Column:
+    """Density of the background at v: exponential or half-normal of a mean."""
+    if model not in ("exponential", "half-normal"):
+        raise ValueError(f"unknown model {model}")
+    return F.exp(-v / mean) / mean if model == "exponential" else F.exp(-v * v / (math.pi * mean * mean)) * (2 / (mean * math.pi))
 
-    Each round is one aggregation to a row; it stops when the mean changes by less than `tolerance` of itself.
-    """
-    lo, hi, n = rows.agg(F.min(value), F.max(value), F.count(value)).first()
-    if not n or hi == lo:
-        return rows.sparkSession.createDataFrame([], "background_mean double, foreground double, rounds int")
-    v = (F.col(value) - lo) / (hi - lo)
-    mean, used = rows.agg(F.avg(v)).first()[0], 0
 
-    def posterior(m: float) -> Column:
-        p = F.exp(-v / m) / m if model == "exponential" else F.exp(-v * v / (math.pi * m * m)) * (2 / (m * math.pi))
-        return p / (1 + p)
+def background_posterior(v: Column, mean: float, model: str) -> Column:
+    """Probability of the background at v against a uniform density of one."""
+    density = background_density(v, mean, model)
+    return density / (1 + density)
+
 
+def background_mean(rows: DataFrame, v: Column, model: str, rounds: int, tolerance: float = 1e-4) -> tuple[float, int]:
+    """Mean of the background on intensities v of 0..1 by EM, and the rounds used: each round is one aggregation to a
+    row; it stops when two rounds' means differ by no more than `tolerance` of their middle."""
+    mean, used = rows.agg(F.avg(v)).first()[0], 0
     for used in range(1, rounds + 1):
-        new = rows.agg(F.sum(v * posterior(mean)) / F.sum(posterior(mean))).first()[0]
-        done = abs(new - mean) <= tolerance * mean
-        mean = new
-        if done or mean <= 0:
+        p = background_posterior(v, mean, model)
+        before, mean = mean, rows.agg(F.sum(v * p) / F.sum(p)).first()[0]
+        if mean <= 0 or abs(mean - before) / (0.5 * (mean + before)) <= tolerance:
             break
-    return rows.agg(F.avg((posterior(mean) <= 0.5).cast("double")).alias("foreground")).select(F.lit(mean).alias("background_mean"), "foreground", F.lit(used).alias("rounds"))
+    return mean, used
+
+
+def background_em(rows: DataFrame, value: str, model: str = "exponential", rounds: int = 50, tolerance: float = 1e-4) -> DataFrame:
+    """Background mean and foreground share by EM on intensities scaled to 0..1; no row where all are equal."""
+    lo, hi, n = rows.agg(F.min(value), F.max(value), F.count(value)).first()
+    if not n or hi == lo:
+        return rows.sparkSession.createDataFrame([], "background_mean double, foreground double, rounds int")
+    v = (F.col(value) - lo) / (hi - lo)
+    mean, used = background_mean(rows, v, model, rounds, tolerance)
+    foreground = F.avg((background_posterior(v, mean, model) <= 0.5).cast("double"))
+    return rows.agg(foreground.alias("foreground")).select(F.lit(mean).alias("background_mean"), "foreground", F.lit(used).alias("rounds"))
 
 
 def unified_mp2rage(first: Column, second: Column, phase_difference: Column) -> Column:

@@ -143,30 +143,44 @@ def weighted_average(rows: DataFrame, keys: list[str], value: str, weight: str)
     return rows.groupBy(*keys).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("weighted_mean"))
 
 
-def robust_range(rows: DataFrame, value: str, ratio: float, rounds: int, bins: int = 1000) -> DataFrame:
-    """Robust minimum and maximum: the bin edges that leave `ratio` of the values below and above, refined `rounds`
-    times by a histogram of the bin that holds each edge. Each round is one aggregation to a row."""
-    base = rows.where(F.col(value).isNotNull())
-    total, lo, hi = base.agg(F.count("*"), F.min(value), F.max(value)).first()
-    if not total:
-        return rows.sparkSession.createDataFrame([], "robust_min double, robust_max double")
-    found = []
-    for target in (ratio * total, (1 - ratio) * total):
-        a, b, below = lo, hi, 0
-        for _ in range(rounds):
-            if b <= a:
+def refined_value(rows: DataFrame, value: str, target: float, rounds: int, weight: Column | None = None, from_top: bool = False, bins: int = 10) -> float | None:
+    """Middle of the bin where the sum of weights, counted from the least value (or the greatest), reaches `target`, after
+    `rounds` histograms, each of the bin found before. A bin holds its upper end, the first one its lower end too. Each
+    round is one aggregation to `bins` rows; None without a value."""
+    base = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"), (F.lit(1.0) if weight is None else weight).alias("_w"))
+    lo, hi = base.agg(F.min("_v"), F.max("_v")).first()
+    found = lo
+    for _ in range(rounds):
+        if lo is None or hi <= lo:
+            break
+        at = F.greatest(F.ceil((F.col("_v") - lo) / (hi - lo) * bins) - 1, F.lit(0)).cast("int")
+        sums = dict(base.where((F.col("_v") >= lo) & (F.col("_v") <= hi)).groupBy(at.alias("k")).agg(F.sum("_w")).collect())  # `bins` rows
+        order = range(bins - 1, -1, -1) if from_top else range(bins)
+        total = 0.0
+        for k in order:
+            total += sums.get(k, 0.0)
+            if total >= target:
                 break
-            at = F.least(F.floor((F.col(value) - a) / (b - a) * bins), F.lit(bins - 1)).cast("int")
-            counts = dict(base.where((F.col(value) >= a) & (F.col(value) <= b)).groupBy(at.alias("k")).count().collect())
-            below = base.where(F.col(value) < a).count()
-            k = 0
-            while k < bins - 1 and below + counts.get(k, 0) <= target:
-                below += counts.get(k, 0)
-                k += 1
-            width = (b - a) / bins
-            a, b = a + k * width, a + (k + 1) * width
-        found.append(a if target < total / 2 else b)
-    return rows.sparkSession.createDataFrame([tuple(float(f) for f in found)], "robust_min double, robust_max double")
+        target -= total - sums.get(k, 0.0)
+        width = hi - lo
+        found, lo, hi = lo + (k + 0.5) / bins * width, lo + k / bins * width, lo + (k + 1) / bins * width
+    return found
+
+
+def robust_range(rows: DataFrame, value: str, ratio: float, rounds: int) -> DataFrame:
+    """Robust minimum and maximum: where `ratio` of the values lie below and above, by refined histograms."""
+    n = rows.where(F.col(value).isNotNull()).count()
+    schema = "robust_min double, robust_max double"
+    if not n:
+        return rows.sparkSession.createDataFrame([], schema)
+    ends = [refined_value(rows, value, ratio * n, rounds, from_top=top) for top in (False, True)]
+    return rows.sparkSession.createDataFrame([tuple(ends)], schema)
+
+
+def weighted_percentile(rows: DataFrame, value: str, weight: str, percent: float, rounds: int = 5) -> float | None:
+    """Percentile by weight, to within 10^-rounds of the range of values."""
+    total = rows.where(F.col(value).isNotNull()).agg(F.sum(weight)).first()[0]
+    return None if total is None else refined_value(rows, value, percent / 100 * total, rounds, F.col(weight))
 
 
 def robust_noise(rows: DataFrame, keys: list[str], value: str, half: float = 19.15) -> DataFrame:

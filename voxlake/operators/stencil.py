@@ -78,41 +78,50 @@ BLOCK = 32
 Cube = np.ndarray
 
 
-def by_block(rows: DataFrame, keys: list[str], value: str, radius: int, outputs: dict[str, str], kernel: Callable[[Cube, Callable], dict[str, np.ndarray]]) -> DataFrame:
-    """keys and outputs of a kernel over blocks of voxels with a halo of `radius`; absent voxels are NaN.
-
-    A voxel travels to its block and to those whose halo holds it, so inner voxels travel once. kernel(cube, shift) gets a
-    block's values with its halo and a function of an offset that gives the block's neighbours there; it returns arrays
-    over the block, of which those at present voxels that are not NaN in the first output become rows.
+def by_block_many(rows: DataFrame, keys: list[str], values: list[str], radius: int, outputs: dict[str, str], kernel: Callable[[Cube, Callable], dict[str, np.ndarray]], side: int = BLOCK) -> DataFrame:
+    """keys and outputs of a kernel over blocks of voxels with a halo of `radius`; absent voxels are NaN, and rows with a
+    null among the values are absent.
+
+    A voxel travels to its block and to those whose halo holds it, so inner voxels travel once. kernel(cubes, shift) gets a
+    block's values with its halo, one cube per value, and a function of a value's number and an offset that gives the
+    block's neighbours there; it returns arrays over the block, of which those at present voxels that are not NaN in the
+    first output become rows.
     """
-    near = rows.select(*[F.col(k).cast("int").alias(k) for k in keys], F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    names = [f"_v{i}" for i in range(len(values))]
+    near = rows.select(*[F.col(k).cast("int").alias(k) for k in keys], *[F.col(v).cast("double").alias(n) for v, n in zip(values, names, strict=True)]).na.drop(subset=names)
     for i, k in enumerate(keys):
-        blocks = F.sequence(F.floor((F.col(k) - radius) / BLOCK).cast("int"), F.floor((F.col(k) + radius) / BLOCK).cast("int"))
+        blocks = F.sequence(F.floor((F.col(k) - radius) / side).cast("int"), F.floor((F.col(k) + radius) / side).cast("int"))
         near = near.withColumn(f"_b{i}", F.explode(blocks))
     schema = ", ".join([*(f"{k} int" for k in keys), *(f"{name} {kind}" for name, kind in outputs.items())])
     kinds = {"double": pa.float64(), "long": pa.int64()}
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        low = np.array([k.as_py() * BLOCK for k in key])
+        low = np.array([k.as_py() * side for k in key])
         at = np.stack([table[k].to_numpy() for k in keys], 1) - low
-        cube = np.full((BLOCK + 2 * radius,) * len(keys), np.nan)
-        cube[tuple((at + radius).T)] = table["_v"].to_numpy()
-        own = at[((at >= 0) & (at < BLOCK)).all(axis=1)]
+        cubes = np.full((len(names), *(side + 2 * radius,) * len(keys)), np.nan)
+        for cube, name in zip(cubes, names, strict=True):
+            cube[tuple((at + radius).T)] = table[name].to_numpy()
+        own = at[((at >= 0) & (at < side)).all(axis=1)]
 
-        def shift(offset: tuple[int, ...]) -> Cube:
-            return cube[tuple(slice(radius + o, radius + o + BLOCK) for o in offset)]
+        def shift(value: int, offset: tuple[int, ...]) -> Cube:
+            return cubes[value][tuple(slice(radius + o, radius + o + side) for o in offset)]
 
         with warnings.catch_warnings():
             warnings.simplefilter("ignore", RuntimeWarning)  # neighbourhoods without a voxel
-            found = kernel(cube, shift)
-        values = {name: found[name][tuple(own.T)] for name in outputs}
-        kept = ~np.isnan(next(iter(values.values())).astype(float))
+            found = kernel(cubes, shift)
+        done = {name: found[name][tuple(own.T)] for name in outputs}
+        kept = ~np.isnan(next(iter(done.values())).astype(float))
         places = {k: pa.array((own[kept, i] + low[i]).astype(np.int32)) for i, k in enumerate(keys)}
-        return pa.table(places | {name: pa.array(v[kept].astype(np.float64 if outputs[name] == "double" else np.int64), kinds[outputs[name]]) for name, v in values.items()})
+        return pa.table(places | {name: pa.array(v[kept].astype(np.float64 if outputs[name] == "double" else np.int64), kinds[outputs[name]]) for name, v in done.items()})
 
     return near.groupBy(*[f"_b{i}" for i in range(len(keys))]).applyInArrow(run, schema)
 
 
+def by_block(rows: DataFrame, keys: list[str], value: str, radius: int, outputs: dict[str, str], kernel: Callable[[Cube, Callable], dict[str, np.ndarray]]) -> DataFrame:
+    """by_block_many of one value: kernel(cube, shift) with shift a function of an offset alone."""
+    return by_block_many(rows, keys, [value], radius, outputs, lambda cubes, shift: kernel(cubes[0], lambda offset: shift(0, offset)))
+
+
 def _reach(offsets: Offsets) -> int:
     return max(max(map(abs, o)) for o in offsets)
 
