@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from voxlake.plans import agreement, catalogue, derived, modules, response  # noqa: F401
+from voxlake.plans import agreement, catalogue, derived, modules, profiles, response  # noqa: F401
 
 
 @pytest.fixture(scope="module")
