@@ -25,7 +25,7 @@ BLOCK_CHARS, BLOCK_TEXTS = 1 << 19, 256
 DENSE_CELLS = 1 << 22
 UNKNOWN = "und"
 #: n-grams whose vectors stand in memory at a time, code points whose vectors a worker keeps, languages of a model.
-GRAM_SLICE, KEPT_LETTERS, MOST_LANGUAGES = 1 << 13, 1 << 15, 4096
+GRAM_SLICE, KEPT_LETTERS, MOST_LANGUAGES = 1 << 12, 1 << 15, 4096
 
 
 def letter_vectors(codes: np.ndarray, dimensions: int) -> np.ndarray:
@@ -50,10 +50,10 @@ class Space:
                 self.rows[c] = letter_vectors(np.array([c]), self.dimensions)[0]
         base = np.stack([self.rows[c] for c in codes.tolist()])
         where = where.reshape(grams.shape)
-        out = np.ones((len(grams), self.dimensions), np.int8)
+        out = np.ones((len(grams), self.dimensions), np.float32)
         for place in range(self.letters):
             out *= np.roll(base, self.letters - 1 - place, axis=1)[where[:, place]]
-        return out.astype(np.float32)
+        return out
 
 
 def grams_of(texts: list[str], letters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +100,7 @@ def grams_of(texts: list[str], letters: int) -> tuple[np.ndarray, np.ndarray, np
     else:
         kinds, gram = np.unique(packed, return_inverse=True)
     cells = first * len(kinds) + gram
-    if len(kinds) * len(texts) <= 2 * DENSE_CELLS:
+    if len(kinds) * len(texts) <= DENSE_CELLS:
         count = np.bincount(cells)
         cell = np.flatnonzero(count)
         count = count[cell]
@@ -111,6 +111,11 @@ def grams_of(texts: list[str], letters: int) -> tuple[np.ndarray, np.ndarray, np
     return points[digits], cell // max(len(kinds), 1), cell % max(len(kinds), 1), count
 
 
+def exact_product(weights: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """weights @ vectors in doubles, whose vectors are widened 1024 at a time."""
+    return sum((weights[:, i : i + 1024] @ vectors[i : i + 1024].astype(np.float64) for i in range(0, len(vectors), 1024)), np.zeros((len(weights), vectors.shape[1])))
+
+
 def _blocks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of blocks of bounded size."""
     first, held, size = 0, [], 0
@@ -144,10 +149,10 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, letters: int = LETT
                 totals = np.zeros((len(names), dimensions))
                 for at in range(0, len(grams), GRAM_SLICE):
                     own = (gram >= at) & (gram < at + GRAM_SLICE)
-                    vectors = space.bound(grams[at : at + GRAM_SLICE]).astype(np.float64)
+                    vectors = space.bound(grams[at : at + GRAM_SLICE])
                     weights = np.zeros((len(names), len(vectors)))
                     np.add.at(weights, (which[text[own]], gram[own] - at), count[own])
-                    totals += weights @ vectors
+                    totals += exact_product(weights, vectors)
                 for name, total in zip(names, totals, strict=True):
                     sums[name] = sums.get(name, 0) + total
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "bundle"])
