@@ -2,6 +2,7 @@
 
 import gzip
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -63,6 +64,21 @@ def test_legacy_percentile_ends(spark):
         assert df.select(statistics.legacy_percentile(F.sort_array("a"), p)).first()[0] == want
 
 
+@pytest.mark.parametrize("keys", [(), ("seg",)])
+def test_histogram_computes_its_values_once(spark, keys):
+    def moved(batches):  # each computation gives other values, as sums of doubles may
+        at = float(time.time_ns() // 1000)
+        for b in batches:
+            yield b.assign(v=b.v + at)
+
+    rows = spark.range(1000, numPartitions=1).selectExpr("cast(id % 2 as int) as seg", "cast(id as double) as v").mapInPandas(moved, "seg int, v double")
+    for seg in range(max(2 * len(keys), 1)):
+        own = np.arange(seg, 1000, 2) if keys else np.arange(1000)
+        at = np.minimum((own - own[0]) / (own[-1] - own[0]) * 10 // 1, 9).astype(int)
+        got = statistics.histogram(rows, "v", 10, keys).where(f"seg = {seg}" if keys else "true")
+        assert {r.bin: r.n for r in got.collect()} == dict(enumerate(np.bincount(at, minlength=10).tolist()))
+
+
 def test_trilinear_of_a_linear_image_is_exact(spark):
     rows = grid(spark, itertools.product(range(6), repeat=3)).withColumn("v", F.col("x") + 10.0 * F.col("y") + 100.0 * F.col("z"))
     points = spark.createDataFrame([(1, 0.25, 1.5, 2.75), (2, 4.0, 3.0, 2.0)], "id int, a double, b double, c double")

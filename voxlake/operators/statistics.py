@@ -117,12 +117,17 @@ def moments(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def histogram(rows: DataFrame, value: str, bins: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Counts of equal bins between the minimum and maximum of each group; the top edge is in the last bin."""
+    """Counts of equal bins between the minimum and maximum of each group; the top edge is in the last bin.
+
+    The values are computed once and written through `spark.checkpoint.dir`: computed twice, sums of doubles may differ in
+    their last digits, and a value could lie outside the bounds.
+    """
+    rows = cut(rows.where(F.col(value).isNotNull()).select(*dict.fromkeys([*keys, value])))
     bounds = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     joined = rows.join(bounds, list(keys)) if keys else rows.crossJoin(F.broadcast(bounds))
     at = F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
     bin_ = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(F.least(at, F.lit(bins - 1))).cast("int")
-    return joined.where(F.col(value).isNotNull()).groupBy(*keys, bin_.alias("bin")).agg(F.count("*").alias("n"))
+    return joined.groupBy(*keys, bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def mutual_information(rows: DataFrame, a: str, b: str, bins: int, keys: list[str]) -> DataFrame:
