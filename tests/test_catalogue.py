@@ -6,6 +6,7 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from voxlake.plans import agreement, catalogue, derived, modules, profiles, response  # noqa: F401
 
@@ -33,3 +34,13 @@ def test_equals_sql(spark, data, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_gives_rows(spark, data, name):
     assert catalogue.QUERIES[name](spark, data).count() > 0
+
+
+def test_level_of_large_prices_equals_sql(spark, data, tmp_path):
+    """All probabilities are 1, as at sf0.1: there is no level set, so no rows."""
+    table = f"{tmp_path}/lineitem.parquet"
+    spark.read.parquet(f"{data}/lineitem.parquet").withColumn("l_extendedprice", F.col("l_extendedprice") + 50000).write.parquet(table)
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{table}/*.parquet'")
+    want = con.execute(catalogue.ORACLES["probability_level"]).fetchall()
+    assert catalogue.QUERIES["probability_level"](spark, str(tmp_path)).count() == len(want) == 0

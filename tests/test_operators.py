@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxlake.operators import fixpoint, geometry, laminar, segmentation, statistics, stencil, surface
+from voxlake.operators import fixpoint, geometry, laminar, overlap, segmentation, statistics, stencil, surface
 from voxlake.sources import nifti, tables
 
 KEYS = ["x", "y", "z"]
@@ -79,6 +79,27 @@ def test_histogram_computes_its_values_once(spark, keys):
         assert {r.bin: r.n for r in got.collect()} == dict(enumerate(np.bincount(at, minlength=10).tolist()))
 
 
+def test_level_of_a_probability_that_crosses_no_half(spark):
+    for p, side in ((0.9, -1.0), (0.2, 1.0)):
+        rows = grid(spark, itertools.product(range(3), repeat=3)).withColumn("p", F.lit(p))
+        assert overlap.level_of_probability(rows, KEYS, "p", uncrossed=None).count() == 0
+        assert [r.phi for r in overlap.level_of_probability(rows, KEYS, "p").collect()] == [side] * 27
+
+
+def test_level_of_a_probability_computes_it_once(spark, tmp_path):
+    seen = str(tmp_path / "seen")
+
+    def noted(batches):
+        with open(seen, "a") as f:
+            f.write("once\n")
+        yield from batches
+
+    rows = grid(spark, itertools.product(range(4), repeat=3)).withColumn("p", F.col("x") / 4).coalesce(1).mapInPandas(noted, "x int, y int, z int, p double")
+    got = {(r.x, r.y, r.z): r.phi for r in overlap.level_of_probability(rows, KEYS, "p").collect()}
+    assert got == {(x, y, z): (1.0, 0.25, 0.0, -1.0)[x] for x, y, z in itertools.product(range(4), repeat=3)}
+    assert open(seen).read() == "once\n"
+
+
 def test_trilinear_of_a_linear_image_is_exact(spark):
     rows = grid(spark, itertools.product(range(6), repeat=3)).withColumn("v", F.col("x") + 10.0 * F.col("y") + 100.0 * F.col("z"))
     points = spark.createDataFrame([(1, 0.25, 1.5, 2.75), (2, 4.0, 3.0, 2.0)], "id int, a double, b double, c double")

@@ -134,14 +134,18 @@ def surface_agreement(voxels: DataFrame, keys: list[str], a: str, b: str, labels
     return reduce(DataFrame.unionAll, out)
 
 
-def level_of_probability(voxels: DataFrame, keys: list[str], p: str) -> DataFrame:
+def level_of_probability(voxels: DataFrame, keys: list[str], p: str, uncrossed: float | None = 1.0) -> DataFrame:
     """Level set of a probability's half: half less the probability at voxels with a 6-neighbour on the other side; else
-    signed distance to the nearest of these, negative inside."""
+    signed distance to the nearest of these, negative inside. Where no neighbours lie on different sides, the distance is
+    `uncrossed`; if that is None there are no rows. Probabilities are computed once, so that all steps see the same sides."""
+    voxels = fixpoint.cut(voxels.select(*keys, p))
     inside = F.col(p) >= 0.5
     other = F.col(f"n_{p}") >= 0.5
     pairs = stencil.stencil(voxels, keys, stencil.neighbours(6, len(keys)), [p], [p])
     rim = fixpoint.cut(pairs.where(inside != other).select(*keys).distinct())
-    marked = voxels.select(*keys, p).join(rim.withColumn("_rim", F.lit(True)), keys, "left")
+    marked = voxels.join(rim.withColumn("_rim", F.lit(True)), keys, "left")
     far = euclidean(marked, keys, F.col("_rim").isNotNull())
+    if uncrossed is None:
+        far = far.where(F.col("distance").isNotNull())
     side = F.when(inside, -1.0).otherwise(1.0)
-    return marked.join(far, keys).select(*keys, F.when(F.col("_rim").isNotNull(), 0.5 - F.col(p)).otherwise(side * F.coalesce("distance", F.lit(1.0))).alias("phi"))
+    return marked.join(far, keys).select(*keys, F.when(F.col("_rim").isNotNull(), 0.5 - F.col(p)).otherwise(side * F.coalesce("distance", F.lit(uncrossed))).alias("phi"))
